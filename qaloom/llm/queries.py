@@ -7,12 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from qaloom.llm.bpe_codec import codec_digest
 from qaloom.llm.common import table
 from qaloom.llm.packing import best_fit_packing
+from qaloom.llm.quality import quality_verdicts
+from qaloom.llm.sharding import shard_by_bytes
 from qaloom.llm.token_counts import token_counts
 from qaloom.llm.token_files import token_file_digest
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +42,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe_codec": op1_bpe_codec,
+        "op4_sampled_splitters": op4_sampled_splitters,
+        "op5_quality_rules": op5_quality_rules,
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
