@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from qaloom.llm.ann import nearest
 from qaloom.llm.bpe_codec import codec_digest
 from qaloom.llm.common import table
 from qaloom.llm.packing import best_fit_packing
+from qaloom.llm.preference import PREFERENCE_SQL, preference_query
 from qaloom.llm.quality import quality_verdicts
 from qaloom.llm.sharding import shard_by_bytes
 from qaloom.llm.token_counts import token_counts
@@ -28,6 +30,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors["vec_id"] % 100 == 0, 10)
+
+
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_query(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_codec": op1_bpe_codec,
         "op4_sampled_splitters": op4_sampled_splitters,
         "op5_quality_rules": op5_quality_rules,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
+        "op7_preference_format": op7_preference_format,
         "op8_token_files": op8_token_files,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
@@ -52,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_preference_format": PREFERENCE_SQL}
