@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from qaloom.llm.ann import nearest
 from qaloom.llm.bpe_codec import codec_digest
 from qaloom.llm.common import table
+from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import best_fit_packing
 from qaloom.llm.preference import PREFERENCE_SQL, preference_query
 from qaloom.llm.quality import quality_verdicts
@@ -22,6 +23,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
@@ -54,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_sampled_splitters": op4_sampled_splitters,
         "op5_quality_rules": op5_quality_rules,
         "op6_nearest_neighbours": op6_nearest_neighbours,
