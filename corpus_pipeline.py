@@ -1,21 +1,61 @@
-"""A training corpus from raw documents, stage by stage; each stage reads what the one before it kept."""
+"""A training corpus from raw documents, stage by stage; each stage reads what the one before it kept.
+
+1. quality rules: documents that the base rules or their group's thresholds reject go;
+2. n-gram Jaccard join: of each group of near copies the one with the least doc_id stays;
+3. substring dedup: passages that an earlier document holds are cut from the texts;
+4. best-fit packing: what is left becomes sequences of 2048 tokens.
+
+Each stage's input is a table, so its rows can be numbered by their place and read again alike.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qaloom.llm.common import table, written
+from qaloom.llm.ngram_join import ngram_components
+from qaloom.llm.packing import best_fit_packing
+from qaloom.llm.passage_dedup import without_repeats
+from qaloom.llm.quality import quality_filter
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_filter(docs)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows, not doc_ids, are the documents: of repeated rows one stays too."""
+    numbered = docs.withColumn("row_no", F.monotonically_increasing_id())
+    group = ngram_components(numbered.withColumn("row_key", F.struct("doc_id", "row_no")), key="row_key")
+    stays = group.where(F.col("row_key") == F.col("component_id")).select("row_key.row_no")
+    return numbered.join(stays, "row_no", "left_semi").select(*docs.columns)
 
-STAGES = []
 
-#: Sketch thresholds, components and packing need iteration, which SQL can't express over whole tables: tested against brute force.
+def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("substring_dedup", passages_once),
+    ("best_fit_packing", packed),
+]
+
+#: Sketches, components and packing iterate, which SQL can't do over whole tables: tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from qaloom.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, "pipeline")
+            docs = written(docs, f"pipeline-{name}")
     return docs

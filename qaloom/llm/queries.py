@@ -12,6 +12,7 @@ from qaloom.llm.bpe_codec import codec_digest
 from qaloom.llm.common import table
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import best_fit_packing
+from qaloom.llm.passage_dedup import repeated_passages
 from qaloom.llm.preference import PREFERENCE_SQL, preference_query
 from qaloom.llm.quality import quality_verdicts
 from qaloom.llm.sharding import shard_by_bytes
@@ -27,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_passage_dedup": op3_passage_dedup,
         "op4_sampled_splitters": op4_sampled_splitters,
         "op5_quality_rules": op5_quality_rules,
         "op6_nearest_neighbours": op6_nearest_neighbours,
