@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from qaloom.plans.registry import QUERIES, SQL
+
+for _name in ("panels", "relations", "similarity", "statistics", "texts", "samples"):
+    importlib.import_module(f"qaloom.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
