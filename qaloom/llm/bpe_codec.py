@@ -32,6 +32,8 @@ from qaloom.llm import common, pretoken, vocabulary
 
 #: A chapter ends after so many bytes of text, or words in its dictionary.
 CHAPTER_BYTES, CHAPTER_WORDS = 256 << 20, 1_000_000
+#: Bytes of text whose ids a worker puts together at a time.
+BLOCK_BYTES = 4 << 20
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -98,13 +100,14 @@ def _chapters(docs: DataFrame, runs, buckets: int) -> DataFrame:
         for batch in batches:
             keys, texts = batch.columns
             types[4] = pa.list_(keys.type)
-            for row, block in pretoken.text_blocks(texts, common.BLOCK_BYTES):
+            for row, block in pretoken.text_blocks(texts, BLOCK_BYTES):
                 if chapter is None:
                     chapter = _Chapter(first + number, buckets)
                 words, at, bounds = splitter.words(block)
                 codes = chapter.add(words, at, len(pretoken.utf8(block)[1]))
                 own = keys.slice(row, len(block))
                 listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+                common.release()
                 values = [pa.array([chapter.name]), pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), listed, pa.array([_planes(np.diff(bounds))]), pa.array([_planes(codes)])]
                 yield pa.RecordBatch.from_arrays(values, names)
                 if chapter.bytes >= CHAPTER_BYTES or len(chapter.index) >= CHAPTER_WORDS:
@@ -157,7 +160,8 @@ def _reassemble(ids: DataFrame, key_type: str, parts: int) -> DataFrame:
         offsets = np.append(0, ends).astype(np.int64) * 4
         words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat).astype("<u4"))]).take(pa.array(order))
         filesystem, at = pyarrow.fs.FileSystem.from_uri(file)
-        rows = pyarrow.dataset.dataset(at, filesystem=filesystem, format="parquet").scanner(["keys", "counts", "codes"], filter=(pc.field("chapter") == chapter) & pc.field("bucket").is_null(), batch_size=1)
+        only = (pc.field("chapter") == chapter) & pc.field("bucket").is_null()
+        rows = pyarrow.dataset.dataset(at, filesystem=filesystem, format="parquet").scanner(["keys", "counts", "codes"], filter=only, batch_size=4, batch_readahead=1, fragment_readahead=1, use_threads=False)
         for batch in rows.to_batches():
             for n in range(batch.num_rows):
                 counts, codes = (_unplanes(batch.column(c)[n].as_py()) for c in (1, 2))
@@ -165,6 +169,8 @@ def _reassemble(ids: DataFrame, key_type: str, parts: int) -> DataFrame:
                 cut = offsets[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
                 own = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1).flatten(), own], ["k", "ids"])
+                del data, own
+                common.release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
@@ -194,8 +200,15 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return _reassemble(_encode_once(entries, path, parts), kind, parts).withColumnRenamed("k", key)
 
 
+def decoded(column: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids in a column of id binaries, end to end, and the rows' offsets: a join with the token-byte table."""
+    _, data, offsets = pretoken.utf8(column)
+    plain, at = vocabulary.gathered(table, data.view("<u4"))
+    return plain, at[offsets // 4]
+
+
 def decode(ids: DataFrame, path: str) -> DataFrame:
-    """Adds `decoded` (binary) to rows with `ids`: a join with the token-byte table, which has one entry a vocabulary id."""
+    """Adds `decoded` (binary) to rows with `ids`.  The token-byte table has one entry a vocabulary id."""
     common.ready(ids.sparkSession)
     names = ids.columns
 
@@ -203,11 +216,8 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
         table = vocabulary.token_bytes(path)
 
         def each(batch: pa.RecordBatch):
-            column = batch.column(names.index("ids"))
-            _, data, offsets = pretoken.utf8(column)
-            plain, at = vocabulary.gathered(table, data.view("<u4"))
-            cut = at[offsets // 4]
-            out = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(plain)])
+            plain, cut = decoded(batch.column(names.index("ids")), table)
+            out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(plain)])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, "decoded"])
 
         return each
@@ -216,28 +226,27 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     return common.arrow_map(ids, make, f"{kinds}, decoded binary")
 
 
-def _decimal_digest(ids: DataFrame, most_id: int) -> DataFrame:
-    """Replaces `ids` by n_tokens and ids_sha256 (of the decimal ids joined by commas)."""
-    kept = [c for c in ids.columns if c != "ids"]
+def codec_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encodes, decodes and returns per document: `key`, n_tokens, ids_sha256 (of the decimal ids joined by commas),
+    decoded_sha256 (of the decoded bytes)."""
+    ids = encode(docs, path, key, text)
 
     def make():
-        decimals = pa.array([b"%d," % i for i in range(most_id + 1)], pa.binary())
+        table = vocabulary.token_bytes(path)
+        decimals = pa.array([b"%d," % i for i in range(len(table))], pa.binary())
+
+        def digests(plain: np.ndarray, cut: np.ndarray, drop: int) -> pa.Array:
+            view, at = memoryview(plain), cut.tolist()
+            return pa.array([hashlib.sha256(view[a : max(a, b - drop)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
 
         def each(batch: pa.RecordBatch):
-            _, data, offsets = pretoken.utf8(batch.column("ids"))
-            plain, at = vocabulary.gathered(decimals, data.view("<u4"))
-            view, cut = memoryview(plain), at[offsets // 4].tolist()
-            digests = [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(offsets) // 4), pa.array(digests, pa.string())], [*kept, "n_tokens", "ids_sha256"])
+            keys, column = batch.columns
+            for first, block in pretoken.text_blocks(column, common.BLOCK_BYTES):
+                counts = pa.array(np.diff(pretoken.utf8(block)[2]) // 4)
+                columns = [keys.slice(first, len(block)), counts, digests(*decoded(block, decimals), 1), digests(*decoded(block, table), 0)]
+                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return each
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema if f.name != "ids")
-    return common.arrow_map(ids, make, f"{kinds}, n_tokens long, ids_sha256 string")
-
-
-def codec_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes, decodes and returns per document: `key`, n_tokens, ids_sha256, decoded_sha256."""
-    decoded = decode(encode(docs, path, key, text), path).withColumn("decoded", F.sha2("decoded", 256))
-    digest = _decimal_digest(decoded, max(vocabulary.rank_table(path).values()))
-    return digest.select(key, "n_tokens", "ids_sha256", F.col("decoded").alias("decoded_sha256"))
+    kind = ids.schema[key].dataType.simpleString()
+    return common.arrow_map(ids, make, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the machine: a worker's peak counts, and workers idle between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with what `make` sets up once a task."""
 
@@ -60,6 +65,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         each = make()
         for batch in batches:
             yield from each(batch)
+            release()
 
     return df.mapInArrow(run, schema)
 
