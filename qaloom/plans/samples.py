@@ -1,0 +1,68 @@
+"""Stratified samples, allocation, blinding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qaloom.operators import sampling as P
+from qaloom.plans.registry import query
+from qaloom.tables import load
+
+_DRAW = "sha1('20260816' || '|' || CAST(doc_id AS VARCHAR))"
+
+
+@query(f"""SELECT doc_id, lang, nth FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW}) AS nth FROM documents) WHERE nth <= 12""")
+def stratified_sample(spark, sf_dir):
+    return P.stratified(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 12, 20260816).select("doc_id", "lang", "nth")
+
+
+_ALLOC = """pop AS (SELECT source AS stratum, count(*) AS n FROM documents GROUP BY source), sh AS (SELECT *, 100.0 * n / sum(n) OVER () AS exact FROM pop),
+ fl AS (SELECT *, CAST(floor(exact) AS BIGINT) AS base, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, stratum) AS r, 100 - CAST(sum(floor(exact)) OVER () AS BIGINT) AS left_over FROM sh),
+ al AS (SELECT stratum, n, base + CASE WHEN r <= left_over THEN 1 ELSE 0 END AS allocated FROM fl)"""
+
+
+@query(f"WITH {_ALLOC} SELECT stratum, n, allocated FROM al")
+def largest_remainder(spark, sf_dir):
+    counts = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return P.largest_remainder(counts, 100)
+
+
+@query(f"""WITH {_ALLOC}, d AS (SELECT doc_id, source AS stratum, {_DRAW} AS h FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) AS nth FROM d),
+ s AS (SELECT doc_id, stratum, sha1('7|' || CAST(doc_id AS VARCHAR)) AS g FROM k JOIN al USING (stratum) WHERE nth <= allocated)
+ SELECT 'I' || lpad(CAST(row_number() OVER (ORDER BY g) AS VARCHAR), 3, '0') AS Item_ID, doc_id, stratum FROM s""")
+def proportional_items(spark, sf_dir):
+    """A proportional sample, shuffled and numbered I001, I002, ... (a hundred rows)."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("stratum"))
+    alloc = P.largest_remainder(docs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), 100)
+    return P.item_ids(P.proportional(docs, alloc, "stratum", "doc_id", 20260816), "doc_id", 7).select("Item_ID", "doc_id", "stratum")
+
+
+@query("""SELECT doc_id, 'q' || substr(sha1(text), 1, 16) AS QID, text AS Question FROM documents JOIN labels USING (doc_id) WHERE quality = 0""")
+def blind_items(spark, sf_dir):
+    """What raters see: no label, source or language."""
+    d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").where("quality = 0"), "doc_id")
+    return P.blinded(d.withColumn("QID", F.concat(F.lit("q"), F.substring(F.sha1("text"), 1, 16))).withColumnRenamed("text", "Question"), ["doc_id", "QID", "Question"])
+
+
+@query("""WITH acc AS (SELECT lang AS t, avg(quality) AS acc FROM labels JOIN documents USING (doc_id) GROUP BY lang), w AS (SELECT *, 25.0 AS w FROM acc), s AS (SELECT *, acc >= 0.85 AS sat, CASE WHEN acc >= 0.85 THEN least(10.0, greatest(0.0, w - 18.0)) ELSE 0.0 END AS shed FROM w),
+ m AS (SELECT bool_or(sat) AND NOT bool_and(sat) AS moves, sum(shed) AS total, arg_min(t, (acc, t)) FILTER (NOT sat) AS recipient FROM s)
+ SELECT t, round(acc, 6) AS acc, round(CASE WHEN moves THEN w - shed + CASE WHEN t = recipient THEN total ELSE 0 END ELSE w END, 6) AS weight FROM s, m""")
+def allocate_weights(spark, sf_dir):
+    """One round of moving weight from saturated types to the weakest of the others."""
+    acc = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents"), "doc_id").groupBy(F.col("lang").alias("t")).agg(F.avg("quality").alias("acc"))
+    out = P.reallocated(acc.withColumn("w", F.lit(25.0)), threshold=0.85, shift=10.0, floor=18.0)
+    return out.select("t", F.round("acc", 6).alias("acc"), F.round("w", 6).alias("weight"))
+
+
+@query("""WITH s AS (SELECT DISTINCT lang AS x FROM documents) SELECT d.doc_id, s.x AS other, row_number() OVER (PARTITION BY d.doc_id ORDER BY sha1(CAST(d.doc_id AS VARCHAR) || '|' || s.x)) AS nth FROM documents d JOIN s ON s.x <> d.lang QUALIFY nth <= 2""")
+def distractor_sample(spark, sf_dir):
+    """Two drawn values unlike a row's own; the pool is the few distinct values, and the draw ends even if it is too small."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    pool = d.select("lang").distinct().agg(F.array_sort(F.collect_set("lang")).alias("pool"))  # a column's few categories
+    drawn = F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("lang")), lambda x: F.struct(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), x)).alias("h"), x.alias("other"))))
+    return d.crossJoin(F.broadcast(pool)).select("doc_id", F.posexplode(F.slice(drawn, 1, 2)).alias("nth", "x")).select("doc_id", "x.other", (F.col("nth") + 1).alias("nth"))
+
+
+@query("""SELECT Judgement, Verdict, count(*) AS n FROM (SELECT unnest(['quality', 'toxic']) AS Judgement, unnest([quality, toxic]) AS Verdict FROM labels) GROUP BY ALL""")
+def failure_unpivot(spark, sf_dir):
+    return load(spark, sf_dir, "labels").unpivot(["doc_id"], ["quality", "toxic"], "Judgement", "Verdict").groupBy("Judgement", "Verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -1,0 +1,86 @@
+"""Near duplicates of questions, scenario admission, two-level gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qaloom.functions.text import py_tokens
+from qaloom.operators import similarity as S
+from qaloom.plans.derived import CORPUS_SQL, corpus
+from qaloom.plans.registry import query
+from qaloom.tables import load
+
+_CLASSES = f"""{CORPUS_SQL}, toks AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(Question), '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+'), lambda x: x <> ''))) AS t FROM corpus),
+ cls AS (SELECT t, min(doc_id) AS rep, count(*) AS members FROM toks WHERE len(t) > 0 GROUP BY t),
+ ex AS (SELECT rep, len(t) AS n, members, unnest(t) AS w FROM cls),
+ inter AS (SELECT a.rep AS i, b.rep AS j, a.n AS ni, b.n AS nj, a.members AS members_i, b.members AS members_j, count(*) AS c FROM ex a JOIN ex b ON a.w = b.w AND a.rep < b.rep GROUP BY ALL),
+ prs AS (SELECT i, j, members_i, members_j, 100.0 * c / (ni + nj - c) AS similarity FROM inter)"""
+
+
+def _pairs(spark, sf_dir, least):
+    return S.similar_pairs(corpus(spark, sf_dir), "doc_id", "Question", least)
+
+
+@query(f"WITH {_CLASSES} SELECT i, j, members_i, members_j, round(similarity, 4) AS similarity FROM prs WHERE similarity >= 50")
+def jaccard_pairs(spark, sf_dir):
+    """Pairs of distinct questions at least half alike, with how many rows each stands for."""
+    return _pairs(spark, sf_dir, 50).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"""WITH {_CLASSES}, b AS (SELECT unnest([50, 60, 70, 80, 90]) AS bound), c AS (SELECT CAST(coalesce(sum(members * (members - 1) / 2), 0) AS BIGINT) AS copies FROM cls)
+ SELECT bound, CAST(coalesce((SELECT sum(members_i * members_j) FROM prs WHERE similarity >= bound), 0) + copies AS BIGINT) AS n FROM b, c""")
+def jaccard_histogram(spark, sf_dir):
+    classes = S.token_classes(corpus(spark, sf_dir), "doc_id", "Question").where("size(tokens) > 0")
+    return S.similarity_histogram(_pairs(spark, sf_dir, 50), classes, [50, 60, 70, 80, 90])
+
+
+@query(f"""WITH RECURSIVE {_CLASSES}, e AS MATERIALIZED (SELECT i, j FROM prs WHERE similarity >= 60), nodes AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS r FROM (SELECT i AS node FROM e UNION SELECT j FROM e)),
+ g(r, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.j = n.node AND list_contains(g.kept, e.i)) THEN g.kept ELSE list_append(g.kept, n.node) END FROM g JOIN nodes n ON n.r = g.r + 1),
+ k AS (SELECT kept FROM g ORDER BY r DESC LIMIT 1)
+ SELECT node, list_contains((SELECT kept FROM k), node) AS kept, CASE WHEN NOT list_contains((SELECT kept FROM k), node) THEN (SELECT min(i) FROM e WHERE j = node AND list_contains((SELECT kept FROM k), i)) END AS blocker FROM nodes""")
+def neardup_greedy(spark, sf_dir):
+    """Of similar questions, in order, those that no kept one blocks."""
+    return S.greedy_selection(_pairs(spark, sf_dir, 60))
+
+
+@query(f"""WITH {_CLASSES} SELECT doc_id, rep AS kept_as, doc_id <> rep AS dropped FROM toks JOIN cls USING (t)""")
+def exact_question_classes(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    sets = rows.select("doc_id", F.array_sort(F.array_distinct(py_tokens(F.col("Question")))).alias("tokens"))
+    cls = S.token_classes(rows, "doc_id", "Question").where("size(tokens) > 0")
+    return sets.join(cls, "tokens").select("doc_id", F.col("rep").alias("kept_as"), (F.col("doc_id") != F.col("rep")).alias("dropped"))
+
+
+_NAME = "list_distinct(string_split(lower({0}), ' '))"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT c_mktsegment AS persona, n_name AS env FROM customer JOIN nation ON n_nationkey = c_nationkey),
+ x AS (SELECT *, {_NAME.format('persona')} AS p, {_NAME.format('env')} AS e FROM s),
+ y AS (SELECT a.persona, a.env, b.persona AS other_persona, b.env AS other_env, 100.0 * len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p)) AS ps, 100.0 * len(list_intersect(a.e, b.e)) / len(list_distinct(a.e || b.e)) AS es
+ FROM x a JOIN x b ON (a.persona, a.env) < (b.persona, b.env))
+ SELECT persona, env, count(*) AS n_close, round(max((ps + es) / 2), 4) AS closest FROM y WHERE (ps + es) / 2 >= 50 GROUP BY ALL""")
+def scenario_gate(spark, sf_dir):
+    """Scenarios and how near the later ones come, as the mean of two similarities.  Distinct scenarios meet through
+    the tokens of either part: half alike on average means one of the parts shares a token."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    s = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("persona"), F.col("n_name").alias("env")).distinct()
+    s = s.withColumn("p", F.array_distinct(py_tokens(F.col("persona")))).withColumn("e", F.array_distinct(py_tokens(F.col("env"))))
+    tagged = lambda c, t: F.transform(F.col(c), lambda x: F.concat(F.lit(t), x))
+    keys = s.withColumn("k", F.explode(F.concat(tagged("p", "p:"), tagged("e", "e:"))))
+    a, b = (keys.select("k", *(F.col(x).alias(f"{t}_{x}") for x in ("persona", "env", "p", "e"))) for t in ("a", "b"))
+    met = a.join(b, "k").where(F.struct("a_persona", "a_env") < F.struct("b_persona", "b_env")).drop("k").distinct()
+    score = (S.jaccard(F.col("a_p"), F.col("b_p")) + S.jaccard(F.col("a_e"), F.col("b_e"))) / 2
+    close = met.withColumn("s", score).where("s >= 50")
+    return close.groupBy(F.col("a_persona").alias("persona"), F.col("a_env").alias("env")).agg(F.count(F.lit(1)).alias("n_close"), F.round(F.max("s"), 4).alias("closest"))
+
+
+@query("""WITH t AS (SELECT p_name, p_type, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM (SELECT DISTINCT p_name, p_type FROM part)),
+ z AS (SELECT x.p_name, x.p_type, 100.0 * len(list_intersect(x.a, y.a)) / len(list_distinct(x.a || y.a)) AS s1, 100.0 * len(list_intersect(x.b, y.b)) / len(list_distinct(x.b || y.b)) AS s2
+ FROM t x JOIN t y ON (x.p_name, x.p_type) <> (y.p_name, y.p_type)) SELECT p_name, p_type, count(*) AS n_alike FROM z WHERE s1 > 30 AND s2 > 20 GROUP BY ALL""")
+def two_level_gate(spark, sf_dir):
+    """Functions with others alike in name (over 30) and objective (over 20).  Both need a shared token, so pairs meet there."""
+    t = load(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    t = t.withColumn("a", F.array_distinct(py_tokens(F.col("p_name")))).withColumn("b", F.array_distinct(py_tokens(F.col("p_type"))))
+    x, y = t.withColumn("k", F.explode("a")), t.toDF("q_name", "q_type", "c", "d").withColumn("k", F.explode("c"))
+    met = x.join(y, "k").where("p_name <> q_name or p_type <> q_type").drop("k").distinct()
+    return met.where((S.jaccard(F.col("a"), F.col("c")) > 30) & (S.jaccard(F.col("b"), F.col("d")) > 20)).groupBy("p_name", "p_type").agg(F.count(F.lit(1)).alias("n_alike"))

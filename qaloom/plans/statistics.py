@@ -1,0 +1,97 @@
+"""Tests of paired results: labels of documents as two models' correctness."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from qaloom.functions import statistics as ST
+from qaloom.operators import testing as T
+from qaloom.plans.derived import PAIRED_SQL, paired
+from qaloom.plans.registry import query
+
+_BINOM = "CASE WHEN b + c > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
+_DISC = f"""WITH {PAIRED_SQL}, g AS (SELECT {{0}}, count(*) AS n, avg(a) AS acc_a, avg(b) AS acc_b, count(*) FILTER (a = 1 AND b <> 1) AS bb, count(*) FILTER (a <> 1 AND b = 1) AS c FROM paired GROUP BY {{0}}),
+ t AS (SELECT {{0}}, n, acc_a, acc_b, bb AS b, c FROM g), p AS (SELECT *, {_BINOM} AS p FROM t)"""
+
+
+@query(_DISC.format("QA_Type") + " SELECT QA_Type, n, round(acc_a, 6) AS acc_a, round(acc_b, 6) AS acc_b, b, c, round(p, 6) AS mcnemar_p FROM p")
+def mcnemar_exact(spark, sf_dir):
+    d = T.discordant(paired(spark, sf_dir), ["QA_Type"])
+    return d.select("QA_Type", "n", *(F.round(x, 6).alias(x) for x in ("acc_a", "acc_b")), "b", "c", F.round("mcnemar_p", 6).alias("mcnemar_p"))
+
+
+@query(_DISC.format("Cluster") + " SELECT Cluster, n, b, c, sign(acc_a - acc_b) AS leader FROM p")
+def discordant_by_group(spark, sf_dir):
+    return T.discordant(paired(spark, sf_dir), ["Cluster"]).select("Cluster", "n", "b", "c", F.signum(F.col("acc_a") - F.col("acc_b")).alias("leader"))
+
+
+@query(_DISC.format("Cluster") + """, r AS (SELECT Cluster, p, row_number() OVER (ORDER BY round(p, 9), Cluster) AS rank, count(*) OVER () AS m FROM p WHERE p IS NOT NULL)
+ SELECT Cluster, round(p, 6) AS p, rank, round(0.05 / (m - rank + 1), 8) AS threshold, min(CASE WHEN p <= 0.05 / (m - rank + 1) THEN 1 ELSE 0 END) OVER (ORDER BY rank) = 1 AS rejected,
+ round(least(1.0, max((m - rank + 1) * p) OVER (ORDER BY rank)), 6) AS adjusted FROM r""")
+def holm_stepdown(spark, sf_dir):
+    d = T.discordant(paired(spark, sf_dir), ["Cluster"]).where("mcnemar_p is not null").select("Cluster", F.col("mcnemar_p").alias("p"))
+    h = T.holm(d, "p", "Cluster")
+    return h.select("Cluster", F.round("p", 6).alias("p"), "rank", F.round("threshold", 8).alias("threshold"), "rejected", F.round("adjusted", 6).alias("adjusted"))
+
+
+@query(f"""WITH {PAIRED_SQL}, g AS (SELECT QA_Type, sum(a)::DOUBLE AS x1, sum(b)::DOUBLE AS x2, count(*)::DOUBLE AS n FROM paired GROUP BY QA_Type), h AS (SELECT *, (x1 + x2) / (2 * n) AS p FROM g)
+ SELECT QA_Type, round((x1 / n - x2 / n) / sqrt(p * (1 - p) * (2 / n)), 6) AS z FROM h""")
+def two_prop_z(spark, sf_dir):
+    g = paired(spark, sf_dir).groupBy("QA_Type").agg(F.sum("a").alias("x1"), F.sum("b").alias("x2"), F.count(F.lit(1)).alias("n"))
+    return g.select("QA_Type", F.round(ST.two_proportion_z(F.col("x1"), F.col("n"), F.col("x2"), F.col("n")), 6).alias("z"))
+
+
+@query()
+def p_values_udf(spark, sf_dir):
+    """p-values that need the error function; tests hold them against known values."""
+    g = paired(spark, sf_dir).groupBy("QA_Type").agg(F.sum("a").alias("x1"), F.sum("b").alias("x2"), F.count(F.lit(1)).alias("n"), F.count_if((F.col("a") == 1) & (F.col("b") != 1)).alias("b"), F.count_if((F.col("a") != 1) & (F.col("b") == 1)).alias("c"))
+    z = ST.two_proportion_z(F.col("x1"), F.col("n"), F.col("x2"), F.col("n"))
+    return g.select("QA_Type", F.round(ST.normal_two_sided(z), 6).alias("z_p"), F.round(ST.mcnemar_auto(F.col("b"), F.col("c")), 6).alias("mcnemar_p"))
+
+
+_LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
+_DRAW = _LCG.format(_LCG.format(_LCG.format("id")))
+
+
+@query(f"""WITH {PAIRED_SQL}, s AS (SELECT Cluster, sum(a) AS sa, sum(b) AS sb, count(*) AS n, row_number() OVER (ORDER BY Cluster) - 1 AS k FROM paired GROUP BY Cluster), m AS (SELECT count(*) AS many FROM s),
+ d AS (SELECT id // many AS r, ({_DRAW} // 65536) % many AS k FROM m, range(2000 * many) t(id)), x AS (SELECT r, (sum(sa) - sum(sb)) / sum(n) AS d FROM d JOIN s USING (k) GROUP BY r)
+ SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM x""")
+def cluster_bootstrap(spark, sf_dir):
+    return T.cluster_bootstrap(paired(spark, sf_dir), "Cluster", 2000).select(*(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+
+
+_DIFF = f"WITH {PAIRED_SQL}, q AS (SELECT QA_Type, Cluster, avg(a) - avg(b) AS d FROM paired GROUP BY ALL)"
+
+
+@query(_DIFF + ", z AS (SELECT QA_Type, d, round(abs(d), 9) AS s FROM q WHERE round(d, 9) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY QA_Type ORDER BY s) + (count(*) OVER (PARTITION BY QA_Type, s) - 1) / 2 AS k FROM z) SELECT QA_Type, count(*) AS n, coalesce(sum(k) FILTER (d > 0), 0) AS w_plus, coalesce(sum(k) FILTER (d < 0), 0) AS w_minus FROM r GROUP BY QA_Type")
+def wilcoxon_w(spark, sf_dir):
+    q = paired(spark, sf_dir).groupBy("QA_Type", "Cluster").agg(F.round(F.avg("a") - F.avg("b"), 9).alias("d"))
+    return T.signed_ranks(q, "d", ["QA_Type"])
+
+
+@query(_DIFF + f", g AS (SELECT QA_Type, count(*) FILTER (round(d, 9) > 0) AS b, count(*) FILTER (round(d, 9) < 0) AS c FROM q GROUP BY QA_Type) SELECT QA_Type, b AS n_plus, c AS n_minus, round({_BINOM}, 6) AS p FROM g")
+def sign_test(spark, sf_dir):
+    q = paired(spark, sf_dir).groupBy("QA_Type", "Cluster").agg(F.round(F.avg("a") - F.avg("b"), 9).alias("d"))
+    g = q.groupBy("QA_Type").agg(F.count_if(F.col("d") > 0).alias("n_plus"), F.count_if(F.col("d") < 0).alias("n_minus"))
+    return g.withColumn("p", F.round(ST.binomial_two_sided(F.col("n_plus"), F.col("n_minus")), 6))
+
+
+@query(f"""WITH {PAIRED_SQL} SELECT QA_Type, round(100 * avg(a), 4) AS acc_all, round(100 * avg(a) FILTER (b = 1), 4) AS acc_gated, round(100 * (avg(a) FILTER (b = 1) - avg(a)), 4) AS lift_pp, round(100 * (avg(a) - avg(b)), 4) AS gap_pp FROM paired GROUP BY QA_Type""")
+def accuracy_decomp(spark, sf_dir):
+    """Accuracy before and after a gate, and the lift, in one pass."""
+    a, b, gated = F.avg("a"), F.avg("b"), F.avg(F.when(F.col("b") == 1, F.col("a")))
+    return paired(spark, sf_dir).groupBy("QA_Type").agg(F.round(100 * a, 4).alias("acc_all"), F.round(100 * gated, 4).alias("acc_gated"), F.round(100 * (gated - a), 4).alias("lift_pp"), F.round(100 * (a - b), 4).alias("gap_pp"))
+
+
+@query(f"""WITH {PAIRED_SQL} SELECT Cluster, round(avg(a) FILTER (QA_Type = 'en'), 6) AS en, round(avg(a) FILTER (QA_Type = 'fr'), 6) AS fr, round(avg(a) FILTER (QA_Type = 'de'), 6) AS de, count(*) AS n FROM paired GROUP BY Cluster""")
+def pivot_means(spark, sf_dir):
+    p = paired(spark, sf_dir)
+    wide = p.groupBy("Cluster").pivot("QA_Type", ["en", "fr", "de"]).agg(F.round(F.avg("a"), 6))
+    return wide.join(p.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n")), "Cluster")
+
+
+@query(f"""WITH {PAIRED_SQL} SELECT a, b, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY a), 4) AS row_pct FROM paired GROUP BY a, b""")
+def crosstab_pct(spark, sf_dir):
+    cell = paired(spark, sf_dir).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return cell.withColumn("row_pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("a")), 4))
