@@ -27,14 +27,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows, not doc_ids, are the documents: of repeated rows one stays too."""
-    numbered = docs.withColumn("row_no", F.monotonically_increasing_id())
-    group = ngram_components(numbered.withColumn("row_key", F.struct("doc_id", "row_no")), key="row_key")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the input's names can't clash with the row number's
+    own = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    numbered = docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id())
+    keyed = numbered.select(F.struct(F.col(own["doc_id"]).alias("doc_id"), "row_no").alias("row_key"), F.col(own["text"]).alias("text"))
+    group = ngram_components(keyed, key="row_key")
     stays = group.where(F.col("row_key") == F.col("component_id")).select("row_key.row_no")
-    return numbered.join(stays, "row_no", "left_semi").select(*docs.columns)
+    return numbered.join(stays, "row_no", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without_repeats(docs, stable=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -188,7 +189,7 @@ def read_token_files(spark, folder: str, manifest: list[dict], key_type: str = "
                     file = FileReader(source, source.size())
                     chosen = np.arange(len(file.counts))
                     if wanted is not None:
-                        chosen = np.flatnonzero(file.keys.is_in(wanted.cast(file.keys.type)).to_numpy(zero_copy_only=False))
+                        chosen = np.flatnonzero(pc.is_in(file.keys, value_set=wanted.cast(file.keys.type)).to_numpy(zero_copy_only=False))
                     held, size = [], 0
                     for k, row in enumerate(chosen.tolist()):
                         held.append((row, file.ids(row)))
