@@ -24,9 +24,10 @@ def binomial_two_sided(b: Column, c: Column) -> Column:
 
 
 def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
-    p = (x1 + x2) / (n1 + n2)
-    se = F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
-    return F.when(se > 0, (x1 / n1 - x2 / n2) / se)
+    """Pooled two-sided z; null where a sample is empty or nothing varies."""
+    p = F.try_divide(x1 + x2, n1 + n2)
+    se = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
+    return F.when(se > 0, F.try_divide(F.try_divide(x1, n1) - F.try_divide(x2, n2), se))
 
 
 @F.pandas_udf(DoubleType())
@@ -41,5 +42,5 @@ def chi_square_one(x: pd.Series) -> pd.Series:
 
 def mcnemar_auto(b: Column, c: Column) -> Column:
     """Exact below 25 discordant pairs, else the continuity-corrected chi-square."""
-    x = F.pow(F.abs(b - c) - 1, F.lit(2)) / (b + c)
+    x = F.try_divide(F.pow(F.abs(b - c) - 1, F.lit(2)), (b + c).cast("double"))
     return F.when(b + c < 25, binomial_two_sided(b, c)).otherwise(chi_square_one(x.cast("double")))
