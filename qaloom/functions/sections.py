@@ -1,0 +1,94 @@
+"""Replies in marked sections, scenario blocks, and numbers written as digits or words."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+
+
+def sections_of(text: str | None, markers: list[str]) -> dict[str, str]:
+    """What stands after each marker, up to the next of them.  ** and ## are taken off, <x> is x; of a repeated marker the
+    last counts; markers that the text lacks are absent."""
+    bare = re.sub(r"<([^<>]*)>", r"\1", re.sub(r"\*\*|##+", "", text or ""))
+    named = "|".join(map(re.escape, sorted(markers, key=len, reverse=True)))
+    found = list(re.finditer(rf"^[^\S\n]*({named})[^\S\n]*:", bare, re.MULTILINE))
+    ends = [m.start() for m in found[1:]] + [len(bare)]
+    return {m[1]: bare[m.end() : e].strip() for m, e in zip(found, ends, strict=True)}
+
+
+def sections(markers: list[str]):
+    """An Arrow UDF: text to a map of its sections."""
+
+    @F.pandas_udf(MapType(StringType(), StringType()))
+    def split(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: sections_of(t, markers))
+
+    return split
+
+
+def scenario_blocks(text: str | None) -> list[dict[str, str]]:
+    """Persona, environment and area of each block whose three lines follow each other; the area is GENERIC or a number."""
+    out, labels = [], ("Persona", "Environment", "Area")
+    found = (text or "").split("\n")
+    for k in range(len(found) - 2):
+        parts = [x.partition(":") for x in found[k : k + 3]]
+        if all(p[0].strip() == n and p[1] for p, n in zip(parts, labels, strict=True)):
+            persona, environment, area = (p[2].strip() for p in parts)
+            if persona and environment and (area == "GENERIC" or area.isdecimal()):
+                out.append({"persona": persona, "environment": environment, "area": area})
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("persona", "environment", "area")])))
+def scenarios(text: pd.Series) -> pd.Series:
+    return text.map(scenario_blocks)
+
+
+# The English number words.
+SMALL = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
+
+
+def spoken(words: list[str]) -> int | None:
+    """The number that the words say; None if they say none."""
+    total, part, some = 0, 0, False
+    for w in words:
+        if w in SMALL or w in TENS:
+            part += SMALL.get(w, TENS.get(w, 0))
+        elif w == "hundred":
+            part = max(part, 1) * 100
+        elif w in SCALES:
+            total, part = total + max(part, 1) * SCALES[w], 0
+        elif w == "and" and some:
+            continue
+        else:
+            return None
+        some = True
+    return total + part if some else None
+
+
+def new_numbers(text: str, known: list[float]) -> list[float]:
+    """Numbers of the text, in digits or words, that aren't known, in order."""
+    named = {*SMALL, *TENS, *SCALES, "hundred"}
+    out, run = [], []
+
+    def close():
+        while run and run[-1] == "and":
+            run.pop()
+        if run:
+            out.append(float(spoken(run)))
+            run.clear()
+
+    for t in re.findall(r"\d[\d,]*\.?\d*|[a-z]+", text.lower()):
+        if t in named or t == "and" and run:
+            run.append(t)
+            continue
+        close()
+        if t[0].isdigit():
+            out.append(float(t.replace(",", "").rstrip(".")))
+    close()
+    return [x for x in out if not any(abs(x - k) < 1e-9 for k in known)]

@@ -21,9 +21,9 @@ def mcnemar_exact(spark, sf_dir):
     return d.select("QA_Type", "n", *(F.round(x, 6).alias(x) for x in ("acc_a", "acc_b")), "b", "c", F.round("mcnemar_p", 6).alias("mcnemar_p"))
 
 
-@query(_DISC.format("Cluster") + " SELECT Cluster, n, b, c, sign(acc_a - acc_b) AS leader FROM p")
+@query(_DISC.format("Cluster") + " SELECT Cluster, n, b, c, CAST(sign(acc_a - acc_b) AS INTEGER) AS leader FROM p")
 def discordant_by_group(spark, sf_dir):
-    return T.discordant(paired(spark, sf_dir), ["Cluster"]).select("Cluster", "n", "b", "c", F.signum(F.col("acc_a") - F.col("acc_b")).alias("leader"))
+    return T.discordant(paired(spark, sf_dir), ["Cluster"]).select("Cluster", "n", "b", "c", F.signum(F.col("acc_a") - F.col("acc_b")).cast("int").alias("leader"))
 
 
 @query(_DISC.format("Cluster") + """, r AS (SELECT Cluster, p, row_number() OVER (ORDER BY round(p, 9), Cluster) AS rank, count(*) OVER () AS m FROM p WHERE p IS NOT NULL)

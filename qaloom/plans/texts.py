@@ -27,12 +27,12 @@ def _checklists(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n").alias("checklist"))  # one conversation
 
 
-@query("SELECT conv_id, list(regexp_replace(left(text, 20), '\\s+$', '') ORDER BY turn) AS criteria FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' GROUP BY conv_id")
+@query("SELECT conv_id, array_to_string(list(regexp_replace(left(text, 20), '\\s+$', '') ORDER BY turn), '|') AS criteria FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' GROUP BY conv_id")
 def numbered_lines(spark, sf_dir):
-    return _checklists(spark, sf_dir).select("conv_id", X.numbered_lines(F.col("checklist")).alias("criteria"))
+    return _checklists(spark, sf_dir).select("conv_id", F.array_join(X.numbered_lines(F.col("checklist")), "|").alias("criteria"))
 
 
-@query("""SELECT user_id, list(v ORDER BY i) AS verdicts FROM (SELECT u.user_id, i, coalesce(any_value(CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'No' END) , 'Unsure') AS v
+@query("""SELECT user_id, array_to_string(list(v ORDER BY i), ',') AS verdicts FROM (SELECT u.user_id, i, coalesce(any_value(CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'No' END) , 'Unsure') AS v
  FROM (SELECT DISTINCT user_id FROM events) u, range(1, 6) r(i) LEFT JOIN (SELECT user_id, CAST(event_id % 7 AS BIGINT) AS idx, event_type, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) AS k
  FROM events WHERE event_type IN ('click', 'view')) e ON e.user_id = u.user_id AND e.idx = i AND e.k = 1 GROUP BY u.user_id, i) GROUP BY user_id""")
 def verdict_lines(spark, sf_dir):
@@ -41,7 +41,7 @@ def verdict_lines(spark, sf_dir):
     said = F.when(F.col("event_type") == "click", "YES").when(F.col("event_type") == "view", "no").otherwise("hm")
     line = F.concat(F.lit(" "), (F.col("event_id") % 7).cast("string"), F.lit(") "), said)
     reply = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda s: s["l"]), "\n").alias("reply"))  # one user's few events
-    return reply.select("user_id", X.verdict_lines(F.col("reply"), F.lit(5)).alias("verdicts"))
+    return reply.select("user_id", F.array_join(X.verdict_lines(F.col("reply"), F.lit(5)), ",").alias("verdicts"))
 
 
 _LINES = "string_split(coalesce(text, ''), chr(10))"
