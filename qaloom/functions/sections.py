@@ -15,7 +15,7 @@ def sections_of(text: str | None, markers: list[str]) -> dict[str, str]:
     bare = re.sub(r"<([^<>]*)>", r"\1", re.sub(r"\*\*|##+", "", text or ""))
     named = "|".join(map(re.escape, sorted(markers, key=len, reverse=True)))
     found = list(re.finditer(rf"^[^\S\n]*({named})[^\S\n]*:", bare, re.MULTILINE))
-    ends = [m.start() for m in found[1:]] + [len(bare)]
+    ends = [*(m.start() for m in found[1:]), len(bare)][: len(found)]
     return {m[1]: bare[m.end() : e].strip() for m, e in zip(found, ends, strict=True)}
 
 
