@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.keys import PY_SPACE, py_strip
 
+# Code fences, numbered lines, verdict lines, bold text, and the phrases that begin a conclusion.
 FENCE = r"^\s*```[a-zA-Z]*\s*$"
+NUMBERED = r"^\s*(\d+)\s*[.)]\s*(.+?)\s*$"
+VERDICT = r"(?i)^\s*(\d+)\s*[.)]\s*(yes|no|unsure)\b"
+BOLD = r"^\*\*(.*?)\*\*$"
+CONCLUSIONS = ("In conclusion,", "In summary,", "To summarize")
 
 
 def py_tokens(x: Column) -> Column:
@@ -31,17 +36,16 @@ def bullet_points(answer: Column) -> Column:
 
 def numbered_lines(text: Column) -> Column:
     """Bodies of lines like "3. body" or "3) body", in order, whatever the numbers; fences are skipped, ** taken off."""
-    kept = F.filter(lines(text), lambda t: ~t.rlike(FENCE) & t.rlike(r"^\s*\d+\s*[.)]\s*.*\S"))
-    body = F.transform(kept, lambda t: py_strip(F.regexp_extract(t, r"^\s*\d+\s*[.)]\s*(.+?)\s*$", 1)))
-    bare = F.transform(body, lambda t: py_strip(F.regexp_replace(t, r"^\*\*(.*?)\*\*$", "$1")))
+    kept = F.filter(lines(text), lambda t: ~t.rlike(FENCE) & t.rlike(NUMBERED))
+    body = F.transform(kept, lambda t: py_strip(F.regexp_extract(t, NUMBERED, 2)))
+    bare = F.transform(body, lambda t: py_strip(F.regexp_replace(t, BOLD, "$1")))
     return F.filter(bare, lambda t: t != "")
 
 
 def verdict_lines(text: Column, expected: Column) -> Column:
     """Yes, No or Unsure for each index 1..expected: the first line that names it counts, none means Unsure."""
-    pattern = r"(?i)^\s*(\d+)\s*[.)]\s*(yes|no|unsure)\b"
-    own = F.filter(lines(text), lambda t: ~t.rlike(r"^\s*```") & t.rlike(pattern))
-    pairs = F.transform(own, lambda t: F.struct(F.regexp_extract(t, pattern, 1).cast("int").alias("i"), F.initcap(F.lower(F.regexp_extract(t, pattern, 2))).alias("v")))
+    own = F.filter(lines(text), lambda t: ~t.rlike(r"^\s*```") & t.rlike(VERDICT))
+    pairs = F.transform(own, lambda t: F.struct(F.regexp_extract(t, VERDICT, 1).cast("int").alias("i"), F.initcap(F.lower(F.regexp_extract(t, VERDICT, 2))).alias("v")))
     first = lambda k: F.get(F.filter(pairs, lambda p: p["i"] == k), F.lit(0))["v"]
     return F.when(expected > 0, F.transform(F.sequence(F.lit(1), F.greatest(expected, F.lit(1))), lambda k: F.coalesce(first(k), F.lit("Unsure")))).otherwise(F.array().cast("array<string>"))
 
@@ -55,7 +59,7 @@ def strip_titles(text: Column) -> Column:
 def cut_document(text: Column) -> Column:
     """From "Title:" on, up to the first phrase that begins a conclusion."""
     out = F.when(F.contains(text, F.lit("Title:")), F.substring(text, F.locate("Title:", text), F.length(text))).otherwise(text)
-    for marker in ("In conclusion,", "In summary,", "To summarize"):
+    for marker in CONCLUSIONS:
         out = F.substring_index(out, marker, 1)
     return py_strip(out)
 
