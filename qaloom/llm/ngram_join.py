@@ -305,7 +305,7 @@ def trie_links(left: tuple, right: tuple | None) -> list[tuple[int, int]]:
 
 def _join_cells(members: DataFrame) -> DataFrame:
     """members: cell, side, cid, n, grams, codes, label.  Links a, b found within each cell."""
-    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
