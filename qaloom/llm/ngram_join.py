@@ -122,7 +122,7 @@ def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     x, y = edges[b], edges[b + 1]
                     if x < y:
                         own, local = np.unique(owner[x:y], return_inverse=True)
-                        data = _z(np.diff(value[x:y], prepend=np.uint64(0)), local.astype(np.uint32), one[own], two[own], size[own])
+                        data = _z(np.diff(value[x:y], prepend=np.uint64(0)), local.astype(np.uint32), one[own], size[own].astype(np.uint32))
                         rows.append((b, int(y - x), len(own), data))
                 for at in range(0, len(rows), 64):
                     cols = zip(*rows[at : at + 64], strict=True)
@@ -139,10 +139,10 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         values, local, ids, base = [], [], [], 0
         for g, c, data in zip(*(t[x].to_pylist() for x in ("grams", "classes", "data")), strict=True):
-            v, i, one, two, size = _unz(data, (g, np.uint64), (g, np.uint32), (c, np.int64), (c, np.int64), (c, np.int64))
+            v, i, one, size = _unz(data, (g, np.uint64), (g, np.uint32), (c, np.int64), (c, np.uint32))
             values.append(np.cumsum(v, dtype=np.uint64))
             local.append(i.astype(np.int64) + base)
-            ids.append(np.stack([one, two, size], axis=1))
+            ids.append(np.stack([one, size.astype(np.int64)], axis=1))
             base += c
         value, own, ident = np.concatenate(values), np.concatenate(local), np.concatenate(ids)
         order = np.lexsort((ident[:, 1], ident[:, 0]))
@@ -171,7 +171,7 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
             x, y = edges[k], edges[k + 1]
             if x < y:
                 u, count = np.unique(own[x:y], return_counts=True)
-                rows.append((k, int(y - x), len(u), _z(value[x:y], code[x:y], count.astype(np.uint32), ident[u, 0].copy(), ident[u, 1].copy(), ident[u, 2].copy())))
+                rows.append((k, int(y - x), len(u), _z(value[x:y], code[x:y], count.astype(np.uint32), ident[u, 0].copy(), ident[u, 1].astype(np.uint32))))
         cols = [[r[i] for r in rows] for i in range(4)]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["grp", "grams", "classes", "data"])
 
@@ -179,21 +179,21 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
 
 
 def _survivors(shared: DataFrame) -> DataFrame:
-    """one, two, n, prefix, grams, codes: classes that could link, n-grams ordered rarest first; `prefix` of them could be
+    """one, n, prefix, grams, codes: classes that could link, n-grams ordered rarest first; `prefix` of them could be
     the first that a link shares."""
 
     def meet(t: pa.Table) -> pa.Table:
         values, codes, counts, ids = [], [], [], []
         for g, c, data in zip(*(t[x].to_pylist() for x in ("grams", "classes", "data")), strict=True):
-            v, code, count, one, two, size = _unz(data, (g, np.uint64), (g, np.uint16), (c, np.uint32), (c, np.int64), (c, np.int64), (c, np.int64))
+            v, code, count, one, size = _unz(data, (g, np.uint64), (g, np.uint16), (c, np.uint32), (c, np.int64), (c, np.uint32))
             values.append(v)
             codes.append(code)
             counts.append(count)
-            ids.append(np.stack([one, two, size], axis=1))
+            ids.append(np.stack([one, size.astype(np.int64)], axis=1))
         value, code, count, ident = (np.concatenate(x) for x in (values, codes, counts, ids))
         ident, number = np.unique(ident, axis=0, return_inverse=True)
         own = np.repeat(number.ravel(), count)
-        m, n = np.bincount(own, minlength=len(ident)), ident[:, 2]
+        m, n = np.bincount(own, minlength=len(ident)), ident[:, 1]
         needed = -(-LEAST * n // OF)
         alive = m >= needed
         keep = alive[own]
@@ -204,10 +204,10 @@ def _survivors(shared: DataFrame) -> DataFrame:
         edges = np.append(np.searchsorted(own, chosen), len(own))
         grams = [value[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         coded = [code[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        out = [pa.array(ident[chosen, i]) for i in range(3)]
-        return pa.table([*out, pa.array((m - needed + 1)[chosen]), pa.array(grams, pa.binary()), pa.array(coded, pa.binary())], names=["one", "two", "n", "prefix", "grams", "codes"])
+        out = [pa.array(np.ascontiguousarray(ident[chosen, i])) for i in range(2)]
+        return pa.table([*out, pa.array((m - needed + 1)[chosen]), pa.array(grams, pa.binary()), pa.array(coded, pa.binary())], names=["one", "n", "prefix", "grams", "codes"])
 
-    return shared.groupBy("grp").applyInArrow(meet, "one long, two long, n long, prefix long, grams binary, codes binary")
+    return shared.groupBy("grp").applyInArrow(meet, "one long, n long, prefix long, grams binary, codes binary")
 
 
 def _prefix_grams(sets: DataFrame) -> DataFrame:
@@ -383,7 +383,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     A text is lower-cased in A-Z; its set holds the distinct n-grams of `words` words; with fewer words the whole sequence
     is one n-gram.  Sets link when OF * intersection >= LEAST * union.  component_id: the least key that links reach.  A null
     text or one without words has an empty set, links with nothing and is a component of its own, as its row is.  Rows with
-    a null key link as others do but name no component.  N-grams are compared by 64-bit hashes.
+    a null key link as others do but name no component.  N-grams are compared by 64-bit hashes, and in the
+    shuffle a class goes by 64 bits and its size.
     """
     spark = common.ready(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -392,7 +393,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     ident = ["one", "two", "n"]
     classes = common.written(own.where("n > 0").groupBy(*ident).agg(F.min("k").alias("class_id"), F.min("uid").alias("cid")), "classes")
     shared = _shared(_postings(slim.select("t"), words, 2 * parts), 2 * parts)
-    sets = common.written(_survivors(shared).join(classes.select(*ident, "cid"), ident), "sets")
+    sets = common.written(_survivors(shared).join(classes.select("one", "n", "cid"), ["one", "n"]), "sets")
     grams = common.written(_prefix_grams(sets), "prefixes")
     star = grams.groupBy("gram").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "b")
     whole = components(grams.join(star, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
