@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Most bytes of text that an operator holds in arrays at a time.
 BLOCK_BYTES = 8 << 20
+#: The same where a block's words and n-grams become arrays of numbers, some thirty times the text.
+WORD_BLOCK_BYTES = 4 << 20
 #: Most bytes that the JVM hands to Python in one Arrow batch.
 BATCH_BYTES = 16 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -54,8 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Gives memory that Arrow keeps for later back to the machine: a worker's peak counts, and workers idle between tasks."""
+    """Gives memory that Arrow and the C library keep for later back to the machine: a worker's peak counts, and workers
+    idle between tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:

@@ -87,7 +87,7 @@ def _unz(data: bytes, *kinds: tuple[int, type]) -> list[np.ndarray]:
 def _digests(docs: DataFrame, words: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch):
-            for first, block in text_blocks(batch.column(1), common.BLOCK_BYTES):
+            for first, block in text_blocks(batch.column(1), common.WORD_BLOCK_BYTES):
                 value, offsets = shingle_sets(block, words)
                 one, two = set_digests(value, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(np.diff(offsets)), pa.array(one), pa.array(two)], ["k", "n", "one", "two"])
@@ -104,7 +104,7 @@ def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         width = (1 << 64) // buckets + 1
 
         def each(batch: pa.RecordBatch):
-            for _, block in text_blocks(batch.column(0), common.BLOCK_BYTES):
+            for _, block in text_blocks(batch.column(0), common.WORD_BLOCK_BYTES):
                 value, offsets = shingle_sets(block, words)
                 one, two = set_digests(value, offsets)
                 size = np.diff(offsets)

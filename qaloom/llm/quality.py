@@ -103,7 +103,7 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
     def make():
         def each(batch: pa.RecordBatch):
-            for first, block in text_blocks(batch.column(len(carried)), common.BLOCK_BYTES):
+            for first, block in text_blocks(batch.column(len(carried)), common.WORD_BLOCK_BYTES):
                 got = measured(block)
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(block)) for c in batch.columns[:-1]), *(pa.array(got[n].astype(np.int64)) for n in NAMES)], [*carried, *NAMES])
 
