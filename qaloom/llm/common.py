@@ -56,6 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows of `df`, dealt by `key` and written as a table in the shared folder that is bucketed by it: any number of
+    joins on the key then move the other side alone."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"qaloom_{uuid.uuid4().hex}"
+    path = new_path(spark, "bucketed")
+    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def release() -> None:
     """Gives memory that Arrow and the C library keep for later back to the machine: a worker's peak counts, and workers
     idle between tasks."""
