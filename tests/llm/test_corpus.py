@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -204,3 +205,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert [i for i, _ in seen[1][1]] == sorted({ids[g] for g in group})
     assert [i for i, _ in seen[2][1]] == [i for i, _ in seen[1][1]]
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.count_distinct("doc_id")).first()[0] == len(seen[2][1])
+
+
+def test_pieces_of_a_line_do_not_depend_on_what_follows():
+    line = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
+    texts = [line, f"{line}\nnext", f"{line}\nother words", line]
+    units = passage_dedup.Units(pa.array(texts, pa.string()))
+    found = [set(units.digest[(units.text == t) & (units.level == passage_dedup.PIECE)].tolist()) for t in range(len(texts))]
+    assert found[0] and all(f == found[0] for f in found)
+    for word in range(60):  # the last word is the one that could see its neighbour
+        a, b = (passage_dedup.Units(pa.array([f"{line} v{word}", after], pa.string())) for after in ("x", "y z"))
+        assert (a.digest[a.text == 0] == b.digest[b.text == 0]).all()
