@@ -216,3 +216,27 @@ def test_pieces_of_a_line_do_not_depend_on_what_follows():
     for word in range(60):  # the last word is the one that could see its neighbour
         a, b = (passage_dedup.Units(pa.array([f"{line} v{word}", after], pa.string())) for after in ("x", "y z"))
         assert (a.digest[a.text == 0] == b.digest[b.text == 0]).all()
+
+
+def lines_of(words: str, size: int) -> str:
+    w = words.split()
+    return "\n".join(" ".join(w[i : i + size]) for i in range(0, len(w), size))
+
+
+def test_passages_of_short_lines(spark):
+    rng = random.Random(12)
+    verse = {n: lines_of(prose(rng, n), 3) for n in (51, 500)}
+    rows = [(i, lines_of(prose(rng, 200), 1 + i % 4)) for i in range(8)]
+    for n, v in verse.items():
+        rows += [(10 * n, v), (10 * n + 1, v), (10 * n + 2, lines_of(prose(rng, 90), 4) + "\n" + v + "\n" + lines_of(prose(rng, 90), 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = passage_dedup.repeated_passages(docs).toPandas()
+    assert set(got.doc_id) == {i for i, _ in rows[8:]}
+    for n in verse:
+        assert (got[got.doc_id.isin([10 * n, 10 * n + 1, 10 * n + 2])].groupby("doc_id").n_words.sum() == n).all()
+    kept = {r.doc_id: r.text or "" for r in passage_dedup.without_repeats(docs).collect()}
+    assert all(kept[i] == t for i, t in rows[:8])
+    for n, v in verse.items():
+        assert kept[10 * n] == v and kept[10 * n + 1].strip() == "" and len(kept[10 * n + 2].split()) == 180
+    units = passage_dedup.Units(pa.array([verse[500]]))
+    assert units.words[units.level == passage_dedup.PIECE].sum() > 490
