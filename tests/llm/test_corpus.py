@@ -240,3 +240,48 @@ def test_passages_of_short_lines(spark):
         assert kept[10 * n] == v and kept[10 * n + 1].strip() == "" and len(kept[10 * n + 2].split()) == 180
     units = passage_dedup.Units(pa.array([verse[500]]))
     assert units.words[units.level == passage_dedup.PIECE].sum() > 490
+
+
+def test_every_passage_of_51_words(spark):
+    rng = random.Random(13)
+    rows, planted = [], {}
+    for i in range(150):  # in longer lines, 80 other words on both sides; of every third, 50 words only
+        passage = prose(rng, 50 if i % 3 == 0 else 51)
+        for k in range(2):
+            rows.append((1000 * k + i, f"{prose(rng, 80)} {passage} {prose(rng, 80)}"))
+            planted[1000 * k + i] = passage
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passage_dedup.repeated_passages(docs).collect()}
+    assert set(got) == {i for i in planted if i % 1000 % 3}
+    for i, r in got.items():
+        assert dict(rows)[i].encode()[r.start : r.end].decode() == planted[i] and (r.n_words, r.removed_words) == (51, 51 * (i >= 1000))
+    kept = {r.doc_id: r.text for r in passage_dedup.without_repeats(docs).collect()}
+    for i, t in rows:
+        assert kept[i] == (t.replace(planted[i], "") if i >= 1000 and i in got else t)
+
+
+def test_windows_equal_all_pairs():
+    rng = random.Random(14)
+    base = [prose(rng, 70).split() for _ in range(6)] + [["the"] * 200, ["a", "b", "c"] * 40]
+    texts = []
+    for _ in range(40):
+        w = []
+        for _ in range(4):
+            part = rng.choice(base)
+            a = rng.randrange(len(part) // 2)
+            w += part[a : a + rng.randrange(40, 90)] + prose(rng, rng.randrange(3)).split()
+        texts.append(lines_of(" ".join(w), rng.choice([2, 9, 60])))
+    size, holders = passage_dedup.PASSAGE_WORDS, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - size + 1):
+            holders.setdefault(tuple(w[j : j + size]), set()).add(i)
+    want = {(i, j + d) for i, t in enumerate(texts) for w in [t.split()] for j in range(len(w) - size + 1) if len(holders[tuple(w[j : j + size])]) > 1 for d in range(size)}
+    digest, text, word, lead, many, window, start, end = passage_dedup.Units(pa.array(texts)).windows()
+    head = np.repeat(start[np.cumsum(many) - many], many)
+    data = passage_dedup._z(np.diff(digest, prepend=np.uint64(0)), *(x.astype(np.uint32) for x in (text, word)), *(x.astype(np.uint8) for x in (lead, many)), start[np.cumsum(many) - many].astype(np.uint32), np.arange(len(texts)), window.astype(np.uint32), (window >> np.uint64(32)).astype(np.uint16), (start - head).astype(np.uint32), (end - head).astype(np.uint32))
+    got = passage_dedup._repeated_windows([(len(digest), len(texts), len(window), data)]).to_pylist()
+    assert {(r["uid"], r["word"] + d) for r in got for d in range(r["words"])} == want
+    for r in got:
+        w = texts[r["uid"]].split()
+        assert texts[r["uid"]][r["start"] : r["end"]].split() == w[r["word"] : r["word"] + r["words"]]
