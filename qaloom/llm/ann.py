@@ -8,7 +8,8 @@
 3. In a probed list, distances grow block by block.  After each block a hypothesis test abandons the
    candidates whose partial distance is too large for one of the nearest: scaled to all dimensions, it
    exceeds the bound by more than the estimate's error allows.  The bound is the distance of the
-   query's 2k-th neighbour among the sampled vectors of its probed lists, so k are surely found within it.  What is left is measured exactly.
+   query's 2k-th neighbour among the sampled vectors of its probed lists, so k surely lie within it.  What is left is measured exactly.
+4. A query that the tests leave with fewer than k is scanned again without them.
 
 Lists are cut into chunks and their queries into blocks, so no task holds a whole list.
 """
@@ -30,6 +31,10 @@ SAMPLE, MOST_LISTS, CALIBRATION, SHARE = 16_384, 1_024, 256, 0.98
 COLUMNS, ERRORS = 16, 2.1
 #: Most vectors and queries of a list that meet in one group.
 CHUNK, QUERIES = 8_192, 1_024
+#: Rounding of a squared distance, as a share of the squared norms.
+ROUNDING = 1e-12
+#: Pairs whose differences are held at a time.
+PAIRS = 1 << 16
 
 
 def takes_part(v: Column) -> Column:
@@ -73,26 +78,36 @@ def calibrated_probes(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(SHARE * len(needed))))]) + 1
 
 
+def _squares(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of rows i of a and j of b."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        s = slice(at, at + PAIRS)
+        out[s] = ((a[i[s]] - b[j[s]]) ** 2).sum(1)
+    return out
+
+
 def scan(queries: np.ndarray, rotated_queries: np.ndarray, bound: np.ndarray, blocks: list[np.ndarray], vectors: np.ndarray, dim: int):
     """(query, vector, exact distance) of the candidates that no test abandons and the bound allows."""
     q, v = np.repeat(np.arange(len(queries)), len(vectors)), np.tile(np.arange(len(vectors)), len(queries))
     partial, seen = np.zeros(len(q)), 0
     slack = bound * (1 + 1e-6) + 1e-12
+    own, other = ROUNDING * (queries * queries).sum(1), ROUNDING * (vectors * vectors).sum(1)
     for block in blocks:
         a = rotated_queries[:, seen : seen + block.shape[1]]
         if seen == 0:
             partial = (np.maximum((a * a).sum(1)[:, None] + (block * block).sum(1)[None] - 2 * a @ block.T, 0)).ravel()
         else:
-            partial = partial + ((a[q] - block[v]) ** 2).sum(1)
+            partial = partial + _squares(a, block, q, v)
         seen += block.shape[1]
         if seen < dim:
-            alive = partial * (dim / seen) <= (slack[q] * (1 + ERRORS / np.sqrt(seen))) ** 2
+            alive = partial * (dim / seen) <= (slack[q] * (1 + ERRORS / np.sqrt(seen))) ** 2 + own[q] + other[v]
             q, v, partial = q[alive], v[alive], partial[alive]
-    near = partial <= (slack[q] * (1 + 1e-4)) ** 2
+    near = partial <= (slack[q] * (1 + 1e-4)) ** 2 + own[q] + other[v]
     q, v = q[near], v[near]
-    exact = np.sqrt(((queries[q] - vectors[v]) ** 2).sum(1))
-    keep = exact <= slack[q]
-    return q[keep], v[keep], exact[keep]
+    exact = _squares(queries, vectors, q, v)
+    keep = exact <= slack[q] ** 2 + own[q] + other[v]
+    return q[keep], v[keep], np.sqrt(exact[keep])
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -169,7 +184,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         blocks = [np.ascontiguousarray(rotated[:, a : a + COLUMNS]) for a in range(0, dim, COLUMNS)]
         uid, vid, quid, qid = left["uid"].to_numpy(), left["id"].to_numpy(), right["uid"].to_numpy(), right["id"].to_numpy()
         found = []
-        step = max(1, (4 << 20) // max(1, len(v)))
+        step = max(1, ((4 << 20) if np.isfinite(bound).all() else (1 << 19)) // max(1, len(v)))
         for at in range(0, len(q), step):
             s = slice(at, at + step)
             i, j, d = scan(q[s], q[s] @ turn, bound[s], blocks, v, dim)
@@ -179,6 +194,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         return pa.Table.from_pandas(pd.concat(found), schema=empty.schema, preserve_index=False) if found else empty
 
     key3 = ["list", "chunk", "block"]
-    partial = vectors.groupBy(*key3).cogroup(asked.groupBy(*key3)).applyInArrow(meet, "quid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("quid").orderBy("score", "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asked: DataFrame) -> DataFrame:
+        partial = vectors.groupBy(*key3).cogroup(asked.groupBy(*key3)).applyInArrow(meet, "quid long, query_id long, vec_id long, score double")
+        return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    found = common.written(best(asked), "neighbours")
+    whole = found.where(F.col("rank") == min(k, n - 1)).select("quid")
+    short = asked.join(whole, asked["uid"] == whole["quid"], "left_anti").withColumn("bound", F.lit(float("inf")))
+    if short.take(1):
+        found = found.join(whole, "quid", "left_semi").unionByName(best(short).select(*found.columns))
+    return found.select("query_id", "rank", "vec_id", "score")

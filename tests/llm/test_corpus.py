@@ -285,3 +285,25 @@ def test_windows_equal_all_pairs():
     for r in got:
         w = texts[r["uid"]].split()
         assert texts[r["uid"]][r["start"] : r["end"]].split() == w[r["word"] : r["word"] + r["words"]]
+
+
+def test_scan_keeps_exact_copies():
+    rng, dim = np.random.default_rng(4), 64
+    turn, lost = ann.rotation(dim), 0
+    for x in rng.normal(size=(300, dim)) * 3:
+        copies = np.repeat(x[None], 30, 0)
+        rotated = copies @ turn
+        blocks = [np.ascontiguousarray(rotated[:, a : a + ann.COLUMNS]) for a in range(0, dim, ann.COLUMNS)]
+        q, _, d = ann.scan(x[None], x[None] @ turn, np.zeros(1), blocks, copies, dim)
+        lost += len(q) < 30 or d.max() > 0
+    assert lost == 0
+
+
+def test_neighbours_that_the_tests_abandon(spark):
+    rng, dim = np.random.default_rng(5), 64
+    x = rng.normal(size=(1500, ann.COLUMNS)) @ ann.rotation(dim)[:, : ann.COLUMNS].T  # all distance is in the first block
+    x[1000:] = x[1000]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    assert (got.groupby("query_id").size() == 10).all() and got.query_id.nunique() == 15
+    assert (got[got.query_id >= 1000].score == 0).all()
