@@ -5,7 +5,7 @@
 3. substring dedup: passages that an earlier document holds are cut from the texts;
 4. best-fit packing: what is left becomes sequences of 2048 tokens.
 
-Each stage's input is a table, so its rows can be numbered by their place and read again alike.
+Stages that number rows write them once with their number: places depend on how files are split, and so on the executors.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Rows, not doc_ids, are the documents: of repeated rows one stays too."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # the input's names can't clash with the row number's
     own = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-    numbered = docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id())
+    numbered = written(docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id()), "numbered")
     keyed = numbered.select(F.struct(F.col(own["doc_id"]).alias("doc_id"), "row_no").alias("row_key"), F.col(own["text"]).alias("text"))
     group = ngram_components(keyed, key="row_key")
     stays = group.where(F.col("row_key") == F.col("component_id")).select("row_key.row_no")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from qaloom.llm import ann, ngram_join, passage_dedup, preference, quality, sharding
+from qaloom.llm import ann, ngram_join, passage_dedup, preference, quality, queries, sharding
 from qaloom.llm.components import components as cluster
 from tests.llm.helpers import SCHEMA, components, hard, hard_rows, measures, prose, shingles
 
@@ -307,3 +307,39 @@ def test_neighbours_that_the_tests_abandon(spark):
     got = ann.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
     assert (got.groupby("query_id").size() == 10).all() and got.query_id.nunique() == 15
     assert (got[got.query_id >= 1000].score == 0).all()
+
+
+def test_row_numbers_outlast_other_splits(spark, tmp_path, monkeypatch):
+    rng = random.Random(15)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 30 + i % 7) + (f" {passage}" if i % 20 == 7 else "")) for i in range(120)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 120, 6)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(path)
+    real, conf, count = passage_dedup.common.written, "spark.sql.files.maxPartitionBytes", [0]
+    old = spark.conf.get(conf)
+
+    def turn():
+        count[0] += 1
+        spark.conf.set(conf, old if count[0] % 2 else "2000")
+
+    def written(*a):
+        turn()
+        return real(*a)
+
+    try:
+        monkeypatch.setattr(passage_dedup.common, "written", written)
+        got = queries.op3_passage_dedup(spark, str(tmp_path)).collect()
+        assert {r.doc_id for r in got if r.doc_id < 1000} >= {i for i, _ in rows if i % 20 == 7}
+        texts = dict(rows)
+        for r in got:
+            if r.doc_id % 20 == 7:
+                assert passage in texts[r.doc_id].encode()[r.start : r.end].decode()
+        monkeypatch.setattr(passage_dedup.common, "written", real)
+        spark.conf.set(conf, old)
+        kept = corpus_pipeline.one_of_near_copies(spark, spark.read.parquet(path), str(tmp_path))
+        spark.conf.set(conf, "2000")
+        want = components([t for _, t in rows])
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[c][0] for c in want})
+    finally:
+        spark.conf.set(conf, old)
