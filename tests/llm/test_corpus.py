@@ -277,10 +277,8 @@ def test_windows_equal_all_pairs():
         for j in range(len(w) - size + 1):
             holders.setdefault(tuple(w[j : j + size]), set()).add(i)
     want = {(i, j + d) for i, t in enumerate(texts) for w in [t.split()] for j in range(len(w) - size + 1) if len(holders[tuple(w[j : j + size])]) > 1 for d in range(size)}
-    digest, text, word, lead, many, window, start, end = passage_dedup.Units(pa.array(texts)).windows()
-    head = np.repeat(start[np.cumsum(many) - many], many)
-    data = passage_dedup._z(np.diff(digest, prepend=np.uint64(0)), *(x.astype(np.uint32) for x in (text, word)), *(x.astype(np.uint8) for x in (lead, many)), start[np.cumsum(many) - many].astype(np.uint32), np.arange(len(texts)), window.astype(np.uint32), (window >> np.uint64(32)).astype(np.uint16), (start - head).astype(np.uint32), (end - head).astype(np.uint32))
-    got = passage_dedup._repeated_windows([(len(digest), len(texts), len(window), data)]).to_pylist()
+    packed = passage_dedup._packed_windows(passage_dedup.Units(pa.array(texts)), np.arange(len(texts)), 3)
+    got = [r for _, *x in packed for r in passage_dedup._repeated_windows([x]).to_pylist()]
     assert {(r["uid"], r["word"] + d) for r in got for d in range(r["words"])} == want
     for r in got:
         w = texts[r["uid"]].split()
