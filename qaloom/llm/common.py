@@ -58,13 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """The rows of `df`, dealt by `key` and written as a table in the shared folder that is bucketed by it: any number of
-    joins on the key then move the other side alone."""
+    joins on the key then move the other side alone.  The catalog forgets the table at once; its files stay."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"qaloom_{uuid.uuid4().hex}"
     path = new_path(spark, "bucketed")
     df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def release() -> None:

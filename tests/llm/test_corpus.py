@@ -260,7 +260,7 @@ def test_every_passage_of_51_words(spark):
         assert kept[i] == (t.replace(planted[i], "") if i >= 1000 and i in got else t)
 
 
-def test_windows_equal_all_pairs():
+def test_windows_equal_all_pairs(spark):
     rng = random.Random(14)
     base = [prose(rng, 70).split() for _ in range(6)] + [["the"] * 200, ["a", "b", "c"] * 40]
     texts = []
@@ -276,13 +276,13 @@ def test_windows_equal_all_pairs():
         w = t.split()
         for j in range(len(w) - size + 1):
             holders.setdefault(tuple(w[j : j + size]), set()).add(i)
-    want = {(i, j + d) for i, t in enumerate(texts) for w in [t.split()] for j in range(len(w) - size + 1) if len(holders[tuple(w[j : j + size])]) > 1 for d in range(size)}
-    packed = passage_dedup._packed_windows(passage_dedup.Units(pa.array(texts)), np.arange(len(texts)), 3)
-    got = [r for _, *x in packed for r in passage_dedup._repeated_windows([x]).to_pylist()]
-    assert {(r["uid"], r["word"] + d) for r in got for d in range(r["words"])} == want
-    for r in got:
-        w = texts[r["uid"]].split()
-        assert texts[r["uid"]][r["start"] : r["end"]].split() == w[r["word"] : r["word"] + r["words"]]
+    covered = lambda keep: {(i, j + d) for i, t in enumerate(texts) for w in [t.split()] for j in range(len(w) - size + 1) if keep(i, holders[tuple(w[j : j + size])]) for d in range(size)}
+    numbered = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "uid long, k long, t string")  # the last is the first by key
+    corpus = passage_dedup.Corpus(passage_dedup.common.bucketed(numbered, "uid"))
+    rows = passage_dedup.common.written(passage_dedup._read(corpus.texts()), "rows")
+    got = passage_dedup.exact_spans(corpus, rows).join(corpus.rank, "pos").collect()
+    assert {(r.uid, r.word + d) for r in got for d in range(r.words)} == covered(lambda i, who: len(who) > 1)
+    assert {(r.uid, r.word + d) for r in got if r.elsewhere for d in range(r.words)} == covered(lambda i, who: max(who) > i)
 
 
 def test_scan_keeps_exact_copies():
