@@ -400,7 +400,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     links = _links(sets, whole.select(F.col("node").alias("cid"), F.col("label").alias("comp")))
     label = components(links).withColumnRenamed("node", "cid")
     labelled = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = labelled.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    # written, so that a large component's label is a plain exchange, which Spark splits
+    least = common.written(labelled.groupBy("label").agg(F.min("class_id").alias("component_id")), "least")
     named = labelled.join(least, "label").select(*ident, "class_id", "component_id")
     many = own.where("n > 0").join(named, ident).select("k", "n", "component_id", "class_id")
     alone = own.where("n = 0").select("k", "n", F.col("k").alias("component_id"), F.col("k").alias("class_id"))
