@@ -208,8 +208,10 @@ def decoded(column: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
-    """Adds `decoded` (binary) to rows with `ids`.  The token-byte table has one entry a vocabulary id."""
+    """Adds `decoded` (binary) to rows with `ids` (a column `decoded` of theirs is replaced).  Null and empty ids decode to
+    nothing; an empty table stays empty.  The token-byte table has one entry a vocabulary id."""
     common.ready(ids.sparkSession)
+    ids = ids.drop("decoded")
     names = ids.columns
 
     def make():

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -34,9 +36,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of this machine only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session has it.  Where it is unset, a folder of this machine if the session runs on it alone, as
+    in tests; on a cluster that is an error, as executors would write elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="qaloom-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -47,13 +52,60 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch to drop a finished job's shuffle files at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For each scratch() that is open, the tables that go with it and their paths, by the id of the DataFrame (which is held, as
+#: ids of dead ones come again).
+_open: list[dict[int, tuple[DataFrame, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within go when the block ends, but those that keep() has handed on."""
+    mine: dict[int, tuple[DataFrame, str]] = {}
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for df, path in mine.values():
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A written table outlives the innermost scratch(): it goes with the next one, or stays."""
+    if _open and (entry := _open[-1].pop(id(df), None)) and len(_open) > 1:
+        _open[-2][id(df)] = entry
+    return df
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: nothing needs the shuffle files once it stands."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _listed(df: DataFrame, path: str) -> DataFrame:
+    if _open:
+        _open[-1][id(df)] = (df, path)
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, computed once: written as a table to the shared folder and read again, so lost executors cost
     no more than the tasks that they ran."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleanup(spark):
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    return _listed(spark.read.schema(df.schema).parquet(path), path)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -63,10 +115,19 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"qaloom_{uuid.uuid4().hex}"
     path = new_path(spark, "bucketed")
-    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    with _cleanup(spark):
+        df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return _listed(out, path)
+
+
+def partitions(df: DataFrame, each: int) -> int:
+    """As many as the session wants, or more, so that each has about `each` bytes of the input as it is stored: what a task holds
+    then doesn't grow with the input.  The size is Spark's own estimate; where it has none the session's number stands."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return parts if size >= 1 << 60 else max(parts, -(-size // each))
 
 
 def release() -> None:

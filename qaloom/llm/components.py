@@ -73,7 +73,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long).  Returns node, label: the least node that links reach, for every node of an edge."""
+    """edges: a, b (long).  Returns node, label: the least node that links reach, for every node of an edge.  Rows with a null
+    end or equal ends are no edges; repeated ones count once; without edges there is no row.  Other columns are ignored."""
     few = 4 * edges.sparkSession.sparkContext.defaultParallelism
     used = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     now = common.written(_contracted(used.coalesce(few)).coalesce(few), "edges")
@@ -82,5 +83,6 @@ def components(edges: DataFrame) -> DataFrame:
         ends = now.select("a", F.lit(1).alias("low"), F.lit(0).alias("high")).union(now.select(F.col("b").alias("a"), F.lit(0).alias("low"), F.lit(1).alias("high")))
         if not ends.groupBy("a").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or (low > 0 and high > 0)").take(1):
             break
-        now = common.written(_contracted(_small_star(_large_star(now)).coalesce(few)), "edges")
+        with common.scratch():
+            now = common.keep(common.written(_contracted(_small_star(_large_star(now)).coalesce(few)), "edges"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

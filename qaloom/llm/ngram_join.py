@@ -32,6 +32,8 @@ from qaloom.llm.textmath import Block, mix, sums, windows
 
 #: Words an n-gram, and the least similarity as numerator and denominator.
 WORDS, LEAST, OF = 5, 3, 4
+#: Bytes of the input, as it is stored, for which there is a task of the n-grams' ranges.
+RANGE_BYTES = 4 << 20
 #: Most classes and n-grams of a chunk of a component, on average.
 CHUNK, CHUNK_GRAMS = 512, 400_000
 
@@ -175,10 +177,10 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
         cols = [[r[i] for r in rows] for i in range(4)]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["grp", "grams", "classes", "data"])
 
-    return postings.groupBy("bucket").applyInArrow(meet, "grp int, grams int, classes int, data binary")
+    return postings.repartition(groups // 2, "bucket").groupBy("bucket").applyInArrow(meet, "grp int, grams int, classes int, data binary")
 
 
-def _survivors(shared: DataFrame) -> DataFrame:
+def _survivors(shared: DataFrame, groups: int) -> DataFrame:
     """one, n, prefix, grams, codes: classes that could link, n-grams ordered rarest first; `prefix` of them could be
     the first that a link shares."""
 
@@ -207,7 +209,7 @@ def _survivors(shared: DataFrame) -> DataFrame:
         out = [pa.array(np.ascontiguousarray(ident[chosen, i])) for i in range(2)]
         return pa.table([*out, pa.array((m - needed + 1)[chosen]), pa.array(grams, pa.binary()), pa.array(coded, pa.binary())], names=["one", "n", "prefix", "grams", "codes"])
 
-    return shared.groupBy("grp").applyInArrow(meet, "one long, n long, prefix long, grams binary, codes binary")
+    return shared.repartition(groups // 2, "grp").groupBy("grp").applyInArrow(meet, "one long, n long, prefix long, grams binary, codes binary")
 
 
 def _prefix_grams(sets: DataFrame) -> DataFrame:
@@ -386,14 +388,19 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     a null key link as others do but name no component.  N-grams are compared by 64-bit hashes, and in the
     shuffle a class goes by 64 bits and its size.
     """
-    spark = common.ready(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common.ready(docs.sparkSession)
+    parts = common.partitions(docs, RANGE_BYTES)
     slim = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    with common.scratch():
+        return common.keep(_components(slim, key, words, parts))
+
+
+def _components(slim: DataFrame, key: str, words: int, parts: int) -> DataFrame:
     own = common.written(_digests(slim, words).withColumn("uid", F.monotonically_increasing_id()), "digests")
     ident = ["one", "two", "n"]
     classes = common.written(own.where("n > 0").groupBy(*ident).agg(F.min("k").alias("class_id"), F.min("uid").alias("cid")), "classes")
     shared = _shared(_postings(slim.select("t"), words, 2 * parts), 2 * parts)
-    sets = common.written(_survivors(shared).join(classes.select("one", "n", "cid"), ["one", "n"]), "sets")
+    sets = common.written(_survivors(shared, 2 * parts).join(classes.select("one", "n", "cid"), ["one", "n"]), "sets")
     grams = common.written(_prefix_grams(sets), "prefixes")
     star = grams.groupBy("gram").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "b")
     whole = components(grams.join(star, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
@@ -405,4 +412,4 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     named = labelled.join(least, "label").select(*ident, "class_id", "component_id")
     many = own.where("n > 0").join(named, ident).select("k", "n", "component_id", "class_id")
     alone = own.where("n = 0").select("k", "n", F.col("k").alias("component_id"), F.col("k").alias("class_id"))
-    return many.union(alone).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id")
+    return common.written(many.union(alone).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id"), "components")

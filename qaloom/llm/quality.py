@@ -49,9 +49,10 @@ def _repeated(block: Block) -> np.ndarray:
     same[1:-1] = run[1:] == run[:-1]
     twice = same[:-1] | same[1:]
     at, head = valid[order[twice]], valid[order[np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(run))))[twice]]]
-    for k in range(WINDOW):  # equal hashes only say where to look
-        if (codes[at + k] != codes[head + k]).any():
-            raise RuntimeError("two windows of one text share a 64-bit hash")
+    if any((codes[at + k] != codes[head + k]).any() for k in range(WINDOW)):  # two windows of a text share a hash: word by word
+        whole = np.stack([text[valid], *(codes[valid + k] for k in range(WINDOW))], axis=1)
+        _, which, many = np.unique(whole, axis=0, return_inverse=True, return_counts=True)
+        at = valid[many[which.ravel()] > 1]
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, at, 1)
     np.add.at(change, at + WINDOW, -1)

@@ -33,6 +33,8 @@ from qaloom.llm import common, pretoken, vocabulary
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
+#: Bytes of text a file.
+FILE_BYTES = 32 << 20
 #: Bytes of ids after which a frame ends: what a reader of one document decompresses besides it.
 FRAME_BYTES = 128 << 10
 
@@ -137,7 +139,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
     vocabulary.check_byte_level(path)
     spark = common.ready(docs.sparkSession)
     runs, specials = pretoken.class_runs("tokenizers"), tuple(vocabulary.json_specials(path))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:  # by the texts' bytes, so a file and its index don't grow with the input
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        files = max(1, -(-size // FILE_BYTES))
     slim = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.monotonically_increasing_id().alias("m"))
     ordered = slim.repartitionByRange(files, "k", "m").sortWithinPartitions("k", "m").select("k", "t")
     end = struct.pack("<I", end_id)
