@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import table, written
+from qaloom.llm.common import keep, scratch, table, written
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import best_fit_packing
 from qaloom.llm.passage_dedup import without_repeats
@@ -22,11 +22,13 @@ from qaloom.llm.quality import quality_filter
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, unchanged.  Null, empty and short texts fail; repeated rows pass or fail alike."""
     return quality_filter(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows, not doc_ids, are the documents: of repeated rows one stays too."""
+    """Of each group the row with the least doc_id (null first).  Rows, not doc_ids, are the documents: of repeated rows one
+    stays too.  Texts without words are groups of their own; an empty table gives an empty one."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # the input's names can't clash with the row number's
     own = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
     numbered = written(docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id()), "numbered")
@@ -37,10 +39,15 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All rows, passages that an earlier document holds cut out, n_chars counted anew (null for a null text).  Other columns stay,
+    whatever their names."""
+    out = without_repeats(docs)
+    count = F.length("text").cast("long")
+    return out.withColumn("n_chars", count) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, a null or empty text's end token too, in sequences of 2048 tokens."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
@@ -57,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():  # what a stage leaves behind goes when its rows are written
+            docs = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
