@@ -6,7 +6,7 @@ import importlib
 
 from qaloom.plans.registry import QUERIES, SQL
 
-for _name in ("panels", "relations", "similarity", "statistics", "texts", "samples"):
+for _name in ("panels", "relations", "similarity", "statistics", "texts", "samples", "replies", "code_domain", "storage", "people", "merging", "generated"):
     importlib.import_module(f"qaloom.plans.{_name}")
 
 

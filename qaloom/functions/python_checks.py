@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod}
+#: What a text can make the parser or the sum raise; deep nesting gives the last two.
+UNPARSED = (SyntaxError, ValueError, TypeError, ArithmeticError, RecursionError, MemoryError)
 #: Powers beyond these are refused: a text must not make a worker compute for ever.
 MOST_EXPONENT, MOST_BASE = 1_000, 1e12
 
@@ -41,7 +43,7 @@ def arithmetic(expression: str) -> float:
 def literals(expression: str) -> list[float]:
     try:
         tree = ast.parse(expression.replace("^", "**").strip(), mode="eval")
-    except (SyntaxError, ValueError):
+    except UNPARSED:
         return []
     return [float(n.value) for n in ast.walk(tree) if isinstance(n, ast.Constant) and type(n.value) in (int, float)]
 
@@ -63,7 +65,7 @@ def grounded(text: str, least_steps: int = 3, tolerance: float = 1e-3) -> tuple[
             return False, "unparsed step"
         try:
             stated, computed = float(parts[2].strip()), arithmetic(parts[1])
-        except (SyntaxError, ValueError, ZeroDivisionError, OverflowError, TypeError):
+        except UNPARSED:
             return False, "unparsed step"
         if not near(computed, stated):
             return False, "mismatch"
@@ -117,7 +119,7 @@ def uses_result_in_assert(source: str, function: str) -> bool:
     """Whether an assert of the test looks at what `function` returned, directly or by a name.  Parsed, never run."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except UNPARSED:
         return False
 
     def calls(node) -> bool:

@@ -1,85 +1,96 @@
-"""Structured parts of model replies: questions, answers, documents, points, code."""
+"""Structured parts of model replies: questions, answers, documents, points."""
 
 from __future__ import annotations
 
-import ast
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
-from qaloom.functions.keys import py_strip
-from qaloom.functions.text import renumbered_map
+from qaloom.functions.keys import PY_SPACE, let, py_strip
+from qaloom.functions.text import in_order, is_conclusion, renumbered_map
+
+#: The quotes that may wrap an answer, whichever stands on which side.
+QUOTES = "\"'“”‘’"
+
+
+def strip_quotes(x: Column) -> Column:
+    """Without quotes on both sides, however many, and without blanks around."""
+    bare = py_strip(x)
+    wrapped = lambda t: (F.length(t) >= 2) & t.rlike(f"^[{QUOTES}]") & t.rlike(f"[{QUOTES}]$")
+    inner = lambda t: py_strip(F.substring(t, F.lit(2), F.length(t) - 2))
+    most = F.length(F.regexp_extract(bare, f"^(?:[{QUOTES}]|{PY_SPACE})*", 0))
+    return F.aggregate(F.sequence(F.lit(0), most), bare, lambda acc, _: F.when(wrapped(acc), inner(acc)).otherwise(acc))
+
 
-#: The kinds of quotes that wrap an answer.
-QUOTES = [('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’")]
+def _first(rows: Column, prefix: str) -> Column:
+    """Place of the first line that begins so; null without any."""
+    return F.get(F.filter(F.transform(rows, lambda x, i: F.when(x.startswith(prefix), i)), lambda i: i.isNotNull()), F.lit(0))
 
 
-def unquoted(x: str | None) -> str | None:
-    """Without the matching quotes around it, however many."""
-    if x is None:
-        return None
-    x = x.strip()
-    while len(x) >= 2 and (x[0], x[-1]) in QUOTES:
-        x = x[1:-1].strip()
-    return x
+def _last(rows: Column, prefix: str) -> Column:
+    found = F.filter(F.transform(rows, lambda x, i: F.when(x.startswith(prefix), i)), lambda i: i.isNotNull())
+    return F.get(found, F.size(found) - 1)
 
 
-@F.pandas_udf(StringType())
-def strip_quotes(x: pd.Series) -> pd.Series:
-    return x.map(unquoted)
+def qa_reply(reply: Column, adversarial: bool = False) -> Column:
+    """question, answer and documents of a reply; null for what it lacks.
 
+    The documents begin at the first line "Document 1".  Before it, the last line "Question" counts, with what stands after
+    its colon, or the next line if that is nothing; and the last line "Answer", up to the first line "Document 1 Title".
+    adversarial: an empty question lacks too."""
 
-def split_reply(reply: str | None) -> tuple[str | None, str | None, str | None]:
-    """question, answer and documents of a reply; None for what it lacks.
+    def parts(rows: Column) -> Column:
+        begin, title = _first(rows, "Document 1"), _first(rows, "Document 1 Title")
+        head = F.slice(rows, F.lit(1), F.coalesce(begin, F.size(rows)))
+        q, a = _last(head, "Question"), _last(head, "Answer")
+        line = F.get(rows, q)
+        own = F.when(F.contains(line, F.lit(":")), py_strip(F.substring(line, F.instr(line, ":") + 1, F.length(line))))
+        after = F.get(rows, q + 1)
+        question = let(own, lambda x: F.when(x == "", F.coalesce(py_strip(after) if adversarial else after, x)).otherwise(x))
+        body = F.array_join(F.slice(rows, a + 1, F.greatest(title - a, F.lit(0))), "\n")
+        answer = F.when(F.contains(body, F.lit("Answer:")), py_strip(F.split_part(body, F.lit("Answer:"), F.lit(2))))
+        documents = F.array_join(F.slice(rows, begin + 1, F.size(rows)), "\n")
+        return F.struct((F.nullif(question, F.lit("")) if adversarial else question).alias("question"), answer.alias("answer"), documents.alias("documents"))
 
-    The documents begin at the first line "Document 1"; the question is on its label's line or the next; the answer runs
-    from its label to the documents and needs them to begin with their title."""
-    if reply is None:
-        return None, None, None
-    text = reply.strip()
-    at = re.search(r"^Document 1", text, re.MULTILINE)
-    head, documents = (text[: at.start()], text[at.start() :]) if at else (text, None)
-    question = answer = None
-    for m in re.finditer(r"^Question[^:\n]*:[^\S\n]*(.*)(?:\n(.*))?", head, re.MULTILINE):
-        question = m[1].strip() or (m[2] if m[2] is not None else "")
-    found = re.search(r"^Answer:(.*)", head, re.MULTILINE | re.DOTALL)
-    if found and documents and documents.startswith("Document 1 Title"):
-        answer = found[1].split("Answer:")[0].strip()
-    return question, answer, documents
+    return let(F.split(py_strip(reply), "\n", -1), parts)
 
 
-_REPLY = StructType([StructField(n, StringType()) for n in ("question", "answer", "documents")])
+def document_points(info: Column, bullets_only: bool = False) -> Column:
+    """The points of each document, in order, as arrays.
 
+    A heading with another number than the one before begins the next document, whatever the number.  Text after its colon
+    is a point, unless it is a title.  Lines of up to two characters are none; of other lines one dash goes.
+    bullets_only: headings only count, and only lines with a dash are points."""
+    heading = lambda x: x.startswith("Document") & (F.length(x) > 2)
+    label = lambda x: F.nullif(F.regexp_extract(x, r"^Document\s+(\d+)", 1), F.lit(""))
+    bare = lambda x: F.when(x.startswith("-"), py_strip(F.substring(x, F.lit(2), F.length(x)))).otherwise(x)
 
-@F.pandas_udf(_REPLY)
-def qa_reply(reply: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([split_reply(r) for r in reply], columns=_REPLY.names)
+    def inline(x: Column) -> Column:
+        rest = F.substring(x, F.instr(x, ":") + 1, F.length(x))
+        return F.when(F.contains(x, F.lit(":")) & ~F.contains(F.lower(x), F.lit("title:")) & (F.length(rest) > 2), bare(py_strip(rest)))
 
+    def point(x: Column) -> Column:
+        long = F.length(x) > 2
+        if bullets_only:
+            return F.when(long & ~heading(x), let(py_strip(x), lambda t: F.when(t.startswith("-"), bare(t))))
+        return F.when(long, let(py_strip(x), lambda t: F.when(heading(x), inline(t)).when(t != "", bare(t))))
 
-def points_by_document(info: str | None) -> dict[str, list[str]]:
-    """Points of each document, numbered from 1 in order of appearance: a heading with another number begins the next
-    one, whatever the number; titles and bare dashes are no points; text after a heading's colon is one."""
-    out: dict[str, list[str]] = {"1": []}
-    label = "1"
-    for line in (info or "").split("\n"):
-        line = line.strip()
-        m = re.match(r"Document\s+(\d+)", line)
-        if m:
-            if m[1] != label:
-                label = m[1]
-                out[str(len(out) + 1)] = []
-            line = line.partition(":")[2].strip() if "Title" not in line else ""
-        if len(line) > 2 and not line.startswith("Title"):
-            out[str(len(out))].append(line.removeprefix("-").strip())
-    return out
+    def begins(rows: Column) -> Column:
+        """Places of the headings whose number is another than the one before."""
+        numbered = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), F.when(heading(x), label(x)).alias("n"))), lambda x: x["n"].isNotNull())
+        before = lambda own, k: F.when(k == 0, F.lit("1")).otherwise(F.get(own, k - 1)["n"])
+        return let(numbered, lambda own: F.transform(F.filter(own, lambda x, k: x["n"] != before(own, k)), lambda x: x["i"]))
 
+    def grouped(rows: Column, at: Column) -> Column:
+        points = F.transform(rows, lambda x, i: F.struct((F.size(F.filter(at, lambda b: b <= i)) + 1).alias("d"), point(x).alias("p")))
+        docs = lambda kept: F.transform(F.sequence(F.lit(1), F.size(at) + 1), lambda d: F.transform(F.filter(kept, lambda x: x["d"] == d), lambda x: x["p"]))
+        return let(F.filter(points, lambda x: x["p"].isNotNull()), docs)
 
-@F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
-def document_points(info: pd.Series) -> pd.Series:
-    return info.map(points_by_document)
+    return let(F.split(F.coalesce(info, F.lit("")), "\n", -1), lambda rows: let(begins(rows), lambda at: grouped(rows, at)))
+
+
+def as_map(docs: Column) -> Column:
+    """Documents in order as a map from "1", "2", ..."""
+    return F.map_from_entries(F.transform(docs, lambda d, i: F.struct((i + 1).cast("string").alias("key"), d.alias("value"))))
 
 
 def covers(points: Column, pool: Column) -> Column:
@@ -104,50 +115,19 @@ def without_points(document_map: Column, removed: Column) -> Column:
 
 
 def without_conclusions(points: Column) -> Column:
-    return F.filter(points, lambda p: ~F.lower(py_strip(p)).startswith("conclusion:"))
+    return F.filter(points, lambda p: ~is_conclusion(p))
 
 
 def documents_info(document_map: Column) -> Column:
-    """"Document k:" and its points, in order."""
-    entries = F.array_sort(F.transform(F.map_entries(document_map), lambda e: F.struct(e["key"].cast("int").alias("k"), e["value"].alias("v"))))
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("Document "), e["k"].cast("string"), F.lit(":\n"), F.array_join(F.transform(e["v"], lambda p: F.concat(F.lit("- "), p)), "\n"))), "\n")
-
-
-def reply_documents(reply: Column) -> Column:
-    """The documents of a reply: split at "Document n:", nothing after "Question:", each from its last "Text:" on."""
-    body = F.split_part(reply, F.lit("Question:"), F.lit(1))
-    parts = F.filter(F.split(body, r"Document \d+:"), lambda x: py_strip(x) != "")
-    return F.transform(parts, lambda x: py_strip(F.substring_index(x, "Text:", -1)))
-
-
-def without_fences(code: Column) -> Column:
-    return py_strip(F.regexp_replace(code, r"(?m)^\s*```[a-zA-Z]*\s*$", ""))
-
-
-def scrubbed(text: Column, names: Column) -> Column:
-    """The text without any mention of the names."""
-    return F.aggregate(names, text, lambda acc, n: F.replace(acc, n, F.lit("")))
-
-
-def asserts_at_end(code: Column, last: int = 5) -> Column:
-    own = F.split(py_strip(code), "\n")
-    return F.exists(F.slice(own, F.greatest(F.size(own) - last + 1, F.lit(1)), F.lit(last)), lambda x: F.contains(x, F.lit("assert")))
-
-
-def signature_matches(code: str, name: str, parameters: int, returns: int) -> bool:
-    """Whether the function of that name takes and returns as many values as its description says.  Parsed, never run."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
-        return False
-    for f in ast.walk(tree):
-        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) and f.name == name:
-            given = [r.value for r in ast.walk(f) if isinstance(r, ast.Return) and r.value is not None]
-            sizes = {len(v.elts) if isinstance(v, ast.Tuple) else 1 for v in given} or {0}
-            return len(f.args.posonlyargs + f.args.args + f.args.kwonlyargs) == parameters and sizes == {returns}
-    return False
-
-
-@F.pandas_udf(BooleanType())
-def signature_agrees(code: pd.Series, name: pd.Series, parameters: pd.Series, returns: pd.Series) -> pd.Series:
-    return pd.Series([signature_matches(c or "", n or "", int(p), int(r)) for c, n, p, r in zip(code, name, parameters, returns, strict=True)])
+    """Each document's heading and points, in numeric order, a blank line between documents."""
+    block = lambda e: F.concat(F.lit("Document "), e["k"], F.lit(" Answer points assigned:\n"), F.array_join(F.transform(e["v"], lambda p: F.concat(F.lit("- "), p, F.lit("\n"))), ""))
+    return py_strip(F.array_join(F.transform(in_order(document_map), block), "\n"))
+
+
+def reply_documents(reply: Column, end: str = "Question:") -> Column:
+    """The documents of a reply, from each heading "Document n:" on: heading, what stands before `end`, and what stands after
+    the last "Text:" under that word again."""
+    heads = F.regexp_extract_all(reply, F.lit(r"(Document \d+:)"), F.lit(1))
+    parts = F.slice(F.split(reply, r"Document \d+:", -1), F.lit(2), F.size(heads))
+    body = lambda x: F.concat(py_strip(F.split_part(x, F.lit(end), F.lit(1))), F.lit("\nText:\n"), py_strip(F.substring_index(x, "Text:", -1)))
+    return F.zip_with(heads, parts, lambda h, x: F.concat(h, F.lit("\n"), body(x)))

@@ -65,3 +65,25 @@ def drop_header_rows(df: DataFrame, name: str) -> DataFrame:
 def require(df: DataFrame, holds: Column, message: str) -> DataFrame:
     """Every row must satisfy `holds`; the first that doesn't stops the job when it is read."""
     return df.withColumn("_ok", F.when(holds, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))).where("_ok").drop("_ok")
+
+
+def with_support(df: DataFrame, key: Sequence[str], least: int) -> DataFrame:
+    """Rows whose key has at least `least` rows; null keys count as a key."""
+    enough = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    same = [df[k].eqNullSafe(enough[k]) for k in key]
+    return df.join(enough, same, "left_semi")
+
+
+def track_rows(df: DataFrame, track: str, seed_type: str = "Seed_Type") -> DataFrame:
+    """Rows of a track and its dynamic form; "all" keeps every row.  A track without rows is an error."""
+    kept = df if track == "all" else df.where(F.col(seed_type).isin(track, f"dynamic_{track}"))
+    if not kept.take(1):
+        raise RelationError(f"no row of track {track}")
+    return kept
+
+
+def require_same_count(left: DataFrame, right: DataFrame) -> int:
+    a, b = left.count(), right.count()
+    if a != b:
+        raise RelationError(f"{a} rows against {b}")
+    return a

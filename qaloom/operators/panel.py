@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 QUESTION = ["QA_Type", "Batch", "Root_ID"]
 CRITERION = [*QUESTION, "Criterion_No"]
+MODES = ("exclude", "zero", "half")
 
 
 def vote_score(vote: Column, unsure: str = "exclude") -> Column:
@@ -18,21 +19,25 @@ def vote_score(vote: Column, unsure: str = "exclude") -> Column:
     return F.when(vote == "Yes", 1.0).when(vote == "No", 0.0).otherwise(other)
 
 
+def _label(yes: Column, no: Column, scored: Column) -> Column:
+    return F.when(scored == 0, "Undecided").when(yes > no, "Yes").when(no > yes, "No").otherwise("DISAGREE")
+
+
 def consensus(votes: DataFrame, unsure: str = "exclude", key: list[str] = CRITERION) -> DataFrame:
     """One row a criterion: Consensus (Yes, No, DISAGREE, Undecided), Mean_Score, N_Judges, Non_Unanimous."""
     s = vote_score(F.col("Verdict"), unsure)
     yes, no, n = F.count_if(s >= 0.75), F.count_if(s <= 0.25), F.count(s)
     counted = votes.groupBy(*key).agg(yes.alias("y"), no.alias("n"), n.alias("v"), F.avg(s).alias("Mean_Score"), F.count(F.lit(1)).alias("N_Judges"))
-    label = F.when(F.col("v") == 0, "Undecided").when(F.col("y") > F.col("n"), "Yes").when(F.col("n") > F.col("y"), "No").otherwise("DISAGREE")
     split = (F.col("v") == 0) | ~((F.col("y") == F.col("v")) | (F.col("n") == F.col("v")))
-    return counted.select(*key, label.alias("Consensus"), "Mean_Score", "N_Judges", split.alias("Non_Unanimous"))
+    return counted.select(*key, _label(F.col("y"), F.col("n"), F.col("v")).alias("Consensus"), "Mean_Score", "N_Judges", split.alias("Non_Unanimous"))
 
 
 def unanimous_label(votes: DataFrame, key: list[str] = CRITERION) -> DataFrame:
     """Label: the verdict that all judges but the unsure ones share, else DISAGREE; Undecided without any."""
-    kept = F.when(F.col("Verdict") != "Unsure", F.col("Verdict"))
-    one = votes.groupBy(*key).agg(F.count_distinct(kept).alias("d"), F.min(kept).alias("v"))
-    return one.select(*key, F.when(F.col("d") == 0, "Undecided").when(F.col("d") == 1, F.col("v")).otherwise("DISAGREE").alias("Label"))
+    yes, no = F.count_if(F.col("Verdict") == "Yes"), F.count_if(F.col("Verdict") == "No")
+    counted = votes.groupBy(*key).agg(yes.alias("y"), no.alias("n"))
+    label = F.when((F.col("y") == 0) & (F.col("n") == 0), "Undecided").when(F.col("n") == 0, "Yes").when(F.col("y") == 0, "No").otherwise("DISAGREE")
+    return counted.select(*key, label.alias("Label"))
 
 
 @dataclass(frozen=True)
@@ -77,29 +82,29 @@ def question_scores(criteria: DataFrame, preset: Preset = PRESETS["poll"], key:
 
 def summary_sets(scores: DataFrame, sets: list[str]) -> DataFrame:
     """Counts and means overall and by each column of `sets`, in one pass; level names the grouping."""
-    spec = ", ".join([f"({s})" for s in sets] + ["()"])
-    scores.createOrReplaceTempView("_scores")
-    level = reduce(lambda a, s: f"CASE WHEN grouping({s}) = 0 THEN '{s}' ELSE {a} END", sets, "'all'")
-    return scores.sparkSession.sql(
-        f"""SELECT {level} AS level, {', '.join(sets)}, count(*) AS n, count_if(Verdict = 'PASS') AS n_pass, count_if(Verdict = 'FAIL') AS n_fail,
-        count_if(Verdict = 'DISAGREE') AS n_disagree, avg(Pass_Frac) AS mean_pass_frac, avg(Disagreement_Rate) AS mean_disagreement
-        FROM _scores GROUP BY GROUPING SETS ({spec})"""
-    )
-
-
-def threshold_grid(votes: DataFrame, fracs: list[str], modes: tuple[str, ...] = ("exclude", "zero", "half"), no_majority: float = 0.34) -> DataFrame:
-    """unsure_mode, pass_frac, QA_Type, n, n_pass, n_disagree: one aggregation a mode, then a join with a fixed grid."""
-    spark = votes.sparkSession
-    per_mode = None
-    for m in modes:
-        q = question_scores(consensus(votes, m)).select(F.lit(m).alias("unsure_mode"), "QA_Type", "Pass_Frac", "No_Majority_Frac")
-        hist = q.groupBy("unsure_mode", "QA_Type", "Pass_Frac", "No_Majority_Frac").agg(F.count(F.lit(1)).alias("c"))
-        per_mode = hist if per_mode is None else per_mode.unionByName(hist)
-    grid = spark.createDataFrame([(f,) for f in fracs], "f string").select(F.col("f").cast("double").alias("least"))
-    v = verdict(F.col("Pass_Frac") , F.col("No_Majority_Frac"), Preset(no_majority=no_majority, pass_frac=0.0))
-    lacks = v == "DISAGREE"
-    return (
-        per_mode.crossJoin(F.broadcast(grid))
-        .groupBy("unsure_mode", F.col("least").alias("pass_frac"), "QA_Type")
-        .agg(F.sum("c").alias("n"), F.sum(F.when(~lacks & (F.col("Pass_Frac") >= F.col("least")), F.col("c")).otherwise(0)).alias("n_pass"), F.sum(F.when(lacks, F.col("c")).otherwise(0)).alias("n_disagree"))
-    )
+    level = reduce(lambda a, s: F.when(F.grouping(s) == 0, s).otherwise(a), sets, F.lit("all"))
+    counts = [F.count_if(F.col("Verdict") == v).alias(f"n_{v.lower()}") for v in ("PASS", "FAIL", "DISAGREE")]
+    agg = [level.alias("level"), F.count(F.lit(1)).alias("n"), *counts, F.avg("Pass_Frac").alias("mean_pass_frac"), F.avg("Disagreement_Rate").alias("mean_disagreement")]
+    return scores.groupingSets([[s] for s in sets] + [[]], *sets).agg(*agg).select("level", *sets, "n", "n_pass", "n_fail", "n_disagree", "mean_pass_frac", "mean_disagreement")
+
+
+def mode_fractions(votes: DataFrame, key: list[str] = QUESTION) -> DataFrame:
+    """unsure_mode, key, Pass_Frac, No_Majority_Frac: what every mode makes of the votes, in one pass over them."""
+    n = {v: F.count_if(F.col("Verdict") == v) for v in ("Yes", "No")}
+    counted = votes.groupBy(*key, "Criterion_No").agg(n["Yes"].alias("y"), n["No"].alias("n"), F.count(F.lit(1)).alias("v"))
+    y, no, v = F.col("y"), F.col("n"), F.col("v")
+    label = {"exclude": _label(y, no, y + no), "zero": _label(y, v - y, v), "half": _label(y, no, v)}
+    marks = [c for m, x in label.items() for c in (F.count_if(x == "Yes").alias(f"p_{m}"), F.count_if(x.isin("DISAGREE", "Undecided")).alias(f"l_{m}"))]
+    got = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("of"), *marks)
+    each = F.array(*(F.struct(F.lit(m).alias("unsure_mode"), (F.col(f"p_{m}") / F.col("of")).alias("Pass_Frac"), (F.col(f"l_{m}") / F.col("of")).alias("No_Majority_Frac")) for m in label))
+    return got.select(*key, F.explode(each).alias("x")).select("x.unsure_mode", *key, "x.Pass_Frac", "x.No_Majority_Frac")
+
+
+def threshold_grid(votes: DataFrame, fracs: list[str], no_majority: float = 0.34) -> DataFrame:
+    """unsure_mode, pass_frac, QA_Type, n, n_pass, n_disagree: one aggregation for all modes, then a fixed grid against the
+    few distinct pairs of fractions."""
+    hist = mode_fractions(votes).groupBy("unsure_mode", "QA_Type", F.col("Pass_Frac").alias("share"), "No_Majority_Frac").agg(F.count(F.lit(1)).alias("c"))
+    lacks = F.col("No_Majority_Frac") > no_majority
+    each = hist.withColumn("pass_frac", F.explode(F.array(*(F.lit(f).cast("double") for f in fracs))))
+    sums = lambda x, n: F.sum(F.when(x, F.col("c")).otherwise(0)).alias(n)
+    return each.groupBy("unsure_mode", F.col("pass_frac"), "QA_Type").agg(F.sum("c").alias("n"), sums(~lacks & (F.col("share") >= F.col("pass_frac")), "n_pass"), sums(lacks, "n_disagree"))

@@ -28,3 +28,41 @@ def hit_points(points: DataFrame, replies: DataFrame, key: list[str], hit: Colum
 def all_agree(solutions: DataFrame, key: list[str], number: str, truth: str) -> DataFrame:
     """Several solvers' numbers: accepted if every one of them meets the truth."""
     return solutions.groupBy(*key).agg(F.bool_and(F.coalesce(F.abs(F.col(number) - F.col(truth)) < 1e-5, F.lit(False))).alias("accepted"), F.count(F.lit(1)).alias("n_solvers"))
+
+
+#: Errors after which a call is worth another attempt.
+RETRIED = ("rate_limit", "timeout", "connection", "server")
+
+
+def with_retries(attempts: DataFrame, key: list[str], most: int = 6) -> DataFrame:
+    """key, reply, error, n_attempts of recorded calls (key, attempt from 1, error, reply).
+
+    The first attempt without an error worth a retry decides, with its reply or its error; if the first `most` all have
+    one, the last of them stands as the error."""
+    tried = attempts.where(F.col("attempt") <= most)
+    decides = F.col("error").isNull() | ~F.col("error").isin(*RETRIED)
+    row = F.struct("attempt", "error", "reply")
+    got = tried.groupBy(*key).agg(F.min_by(row, F.when(decides, F.col("attempt"))).alias("_d"), F.max_by(row, "attempt").alias("_l"))
+    x = F.coalesce("_d", "_l")
+    return got.select(*key, F.when(x["error"].isNull(), x["reply"]).alias("reply"), x["error"].alias("error"), x["attempt"].alias("n_attempts"))
+
+
+def granted_tokens(asked: Column, limit: Column, step: int = 2_000) -> Column:
+    """The first of asked, asked - step, ... that a model takes (limit: the most it does, null: any); null if none above 0 does."""
+    fewer = F.when(limit.isNull() | (asked <= limit), asked).otherwise(asked - step * F.ceil((asked - limit) / step))
+    return F.when(fewer > 0, fewer.cast("long"))
+
+
+def backed_off(reply: Column, asked: Column, limit: Column, step: int = 2_000) -> Column:
+    """A reply, or "error" where no number of tokens is taken."""
+    return F.when(granted_tokens(asked, limit, step).isNotNull(), reply).otherwise("error")
+
+
+def all_passed(output: Column) -> Column:
+    """Whether a recorded execution ended with its last line "All-Pass"."""
+    return F.coalesce(F.substring_index(F.regexp_replace(output, r"\s+$", ""), "\n", -1) == "All-Pass", F.lit(False))
+
+
+def running_accuracy(results: Column, failed: Column) -> Column:
+    """Mean of 0/1 results over the rows that didn't fail; an aggregate."""
+    return F.avg(F.when(~F.coalesce(failed, F.lit(False)), results.cast("double")))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qaloom.operators.guards import RelationError
+from qaloom.operators.relations import positions
+from qaloom.tables import written
 
 
 def draw(key: str, seed: int) -> Column:
@@ -29,7 +31,9 @@ def require_sample(rows: DataFrame, stratum: str, wanted: dict[str, int]) -> Non
 
 
 def largest_remainder(counts: DataFrame, wanted: int, stratum: str = "stratum", n: str = "n") -> DataFrame:
-    """allocated: `wanted` places in proportion to n; floors first, then the largest remainders, ties by stratum."""
+    """allocated: `wanted` places in proportion to n; floors first, then the largest remainders, ties by stratum.
+
+    counts: a row a stratum; they are ranked in one window, so strata must be few beside rows, as places to draw are."""
     all_ = W.partitionBy()
     exact = F.lit(float(wanted)) * F.col(n) / F.sum(n).over(all_)
     shared = counts.withColumn("_e", exact).withColumn("_b", F.floor("_e"))
@@ -45,8 +49,10 @@ def proportional(rows: DataFrame, allocation: DataFrame, stratum: str, key: str,
 
 
 def item_ids(sample: DataFrame, key: str, seed: int) -> DataFrame:
-    """Shuffled and numbered I001...: a sample for people to read, so one window does."""
-    return sample.withColumn("Item_ID", F.concat(F.lit("I"), F.lpad(F.row_number().over(W.orderBy(draw(key, seed))).cast("string"), 3, "0")))
+    """Shuffled and numbered I001...; a thousand and more have as many digits as they need."""
+    placed = positions(sample.withColumn("_draw", draw(key, seed)), ["_draw"], "_pos")
+    number = (F.col("_pos") + 1).cast("string")
+    return placed.withColumn("Item_ID", F.concat(F.lit("I"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))).drop("_draw", "_pos")
 
 
 def blinded(rows: DataFrame, shown: Sequence[str]) -> DataFrame:
@@ -64,3 +70,42 @@ def reallocated(types: DataFrame, threshold: float, shift: float, floor: float)
     recipient = F.min_by("t", F.when(~sat, F.struct("acc", "t"))).over(all_)
     total = F.sum("_shed").over(all_)
     return marked.withColumn("w", F.when(moves, F.col("w") - F.col("_shed") + F.when(F.col("t") == recipient, total).otherwise(0.0)).otherwise(F.col("w"))).drop("_shed")
+
+
+def allocation_rounds(types: DataFrame, threshold: float, shift: float, floor: float, rounds: int) -> DataFrame:
+    """round (from 0), t, acc, w: the rule applied again and again to a few types whose accuracy stays."""
+    now = written(types.select("t", "acc", "w"), "weights")
+    out = now.select(F.lit(0).alias("round"), "t", "acc", "w")
+    for r in range(1, rounds + 1):
+        now = written(reallocated(now, threshold, shift, floor).select("t", "acc", "w"), "weights")
+        out = out.union(now.select(F.lit(r), "t", "acc", "w"))
+    return out
+
+
+def exemplars(scenarios: DataFrame, clauses: DataFrame, key: str, wanted: int, seed: int) -> DataFrame:
+    """`wanted` drawn scenarios as three marked lines each.  Generic ones have the area GENERIC, others that whose clause is their
+    Reg_Text (the least id, if several); scenarios without an area are passed over.
+
+    scenarios: key, Persona, Environment, Reg_Text, Seed_Type; clauses: id, clause."""
+    areas = clauses.where(F.trim("clause") != "").groupBy(F.trim("clause").alias("_c")).agg(F.min("id").alias("_id"))
+    known = scenarios.join(areas, F.trim("Reg_Text") == F.col("_c"), "left")
+    area = F.when(F.col("Seed_Type").isin("generic", "dynamic_generic"), "GENERIC").otherwise(F.col("_id"))
+    drawn = known.withColumn("Area", area).where("Area is not null").orderBy(draw(key, seed)).limit(wanted)
+    text = F.concat(F.lit("USER_PERSONA: "), F.col("Persona"), F.lit("\nCOLLECTION_OF_DOCS: "), F.col("Environment"), F.lit("\nREGULATORY_AREA_ID: "), F.col("Area"))
+    return drawn.select(key, text.alias("exemplar"))
+
+
+def context_draws(prompts: DataFrame, pool: DataFrame, similar: DataFrame, each: int, seed: int) -> DataFrame:
+    """problem, nth, name: for every prompt function (problem, nth from 0) the next `each` functions of the pool in the order of the
+    draw, none twice, none that is similar to a prompt function of the problem.
+
+    pool: name; similar: problem, name.  A problem looks at as many drawn functions as it needs, its similar ones and one
+    round more, so no pool is crossed with the problems.  Where fewer than `each` are left, every later function gets those."""
+    places = positions(pool.withColumn("_d", F.sha1(F.concat_ws("|", F.lit(str(seed)), "name"))), ["_d", "name"], "_p").select("name", "_p")
+    need = prompts.groupBy("problem").agg(F.count(F.lit(1)).alias("_many")).join(similar.groupBy("problem").agg(F.count(F.lit(1)).alias("_no")), "problem", "left")
+    seen = need.select("problem", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_many") + 1) * each + F.coalesce("_no", F.lit(0)) - 1)).alias("_p"))
+    order = W.partitionBy("problem").orderBy("_p")
+    ranked = written(seen.join(places, "_p").join(similar, ["problem", "name"], "left_anti").withColumn("_r", F.row_number().over(order) - 1), "drawn")
+    full = ranked.groupBy("problem").agg(F.floor((F.max("_r") + 1) / each).cast("long").alias("_full"))
+    asked = prompts.join(full, "problem").withColumn("_slot", F.least(F.col("nth").cast("long"), F.col("_full")))
+    return asked.join(ranked.withColumn("_slot", F.floor(F.col("_r") / each).cast("long")).select("problem", "name", "_slot"), ["problem", "_slot"]).select("problem", "nth", "name")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qaloom.functions.statistics import binomial_two_sided
+from qaloom.functions.statistics import binomial_two_sided, student_p, wilcoxon_p
 from qaloom.operators.relations import positions
+from qaloom.tables import written
 
 
 def discordant(pairs: DataFrame, by: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -33,21 +34,19 @@ def holm(tests: DataFrame, p: str, key: str, family: Sequence[str] = (), alpha:
     return ranked.withColumn("rejected", rejected).withColumn("adjusted", adjusted).drop("_m")
 
 
-#: Fixed values of a linear congruential generator, so any engine draws alike.
-LCG_A, LCG_C, LCG_M = 1_103_515_245, 12_345, 2_147_483_648
-
-
-def cluster_bootstrap(pairs: DataFrame, cluster: str, replicates: int, a: str = "a", b: str = "b") -> DataFrame:
+def cluster_bootstrap(pairs: DataFrame, cluster: str, replicates: int, a: str = "a", b: str = "b", seed: int = 42) -> DataFrame:
     """mean, lo, hi of the accuracy difference a - b over resampled clusters: one row.
 
-    Clusters are summed first; a replicate draws as many as there are.  Replicates x clusters rows are drawn from ranges
-    and joined to the clusters' numbers, so nothing is gathered."""
+    Clusters are summed first; a replicate draws as many as there are, each draw by the digest of seed, replicate and
+    draw, so any engine draws alike.  Replicates x clusters rows are drawn from a range and joined to the clusters'
+    numbers, so nothing is gathered."""
     spark = pairs.sparkSession
     sums = pairs.groupBy(cluster).agg(F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.count(F.lit(1)).alias("n"))
-    numbered = positions(sums, [cluster], "k")
+    numbered = written(positions(sums, [cluster], "k"), "clusters")
     many = numbered.count()
-    draw = lambda x: (x * LCG_A + LCG_C) % LCG_M
-    picks = spark.range(replicates * many).select(F.floor(F.col("id") / many).alias("r"), F.pmod(F.floor(draw(draw(draw(F.col("id")))) / 65536), F.lit(many)).alias("k"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.pmod("id", F.lit(max(many, 1))).cast("string")))
+    picks = spark.range(replicates * many).withColumn("r", F.floor(F.col("id") / max(many, 1)).cast("long"))
+    picks = picks.select("r", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(many, 1))).alias("k"))
     diffs = picks.join(numbered, "k").groupBy("r").agg(((F.sum("sa") - F.sum("sb")) / F.sum("n")).alias("d"))
     return diffs.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"))
 
@@ -58,4 +57,26 @@ def signed_ranks(differences: DataFrame, d: str, by: Sequence[str]) -> DataFrame
     sizes = used.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(d) > 0).alias("plus"))
     before = F.coalesce(F.sum("t").over(W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
-    return ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"))
+    return ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+
+
+def wilcoxon(differences: DataFrame, d: str, by: Sequence[str]) -> DataFrame:
+    """n, w_plus, w_minus, z and p: exact up to 50 differences without ties, else normal with the variance cut for ties."""
+    n = F.col("n")
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    ranks = signed_ranks(differences, d, by).withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(variance)))
+    return ranks.withColumn("p", wilcoxon_p(n, F.col("w_plus"), F.col("ties"), F.col("z"))).drop("ties")
+
+
+def paired_t(differences: DataFrame, d: str, by: Sequence[str]) -> DataFrame:
+    """n, mean, t and two-sided p of paired differences; t and p are null where nothing varies."""
+    got = differences.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("_s"))
+    t = F.try_divide(F.col("mean"), F.try_divide(F.col("_s"), F.sqrt("n")))
+    return got.withColumn("t", t).withColumn("p", student_p(F.col("t"), F.col("n"))).drop("_s")
+
+
+def same_leader(cells: DataFrame, family: Sequence[str], grid: str, reference: float, difference: str) -> DataFrame:
+    """Adds same_leader: whether a cell's difference has the sign of its family's reference cell; null without either."""
+    own = F.signum(F.round(difference, 9))
+    base = F.max(F.when(F.abs(F.col(grid) - reference) < 1e-9, own)).over(W.partitionBy(*family))
+    return cells.withColumn("same_leader", own == base)

@@ -45,16 +45,29 @@ def raw_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_votes with one vote a judge: of conflicting ones the least word, whatever their order."""
-    return raw_votes(spark, sf_dir).groupBy("QA_Type", "Batch", "Seed_Type", "Root_ID", "Criterion_No", "Judge").agg(F.min("Verdict").alias("Verdict"))
+    """raw_votes with one vote a judge: of conflicting ones the least word, whatever their order.
+
+    Votes are numbers until they are collapsed (No 0, Unsure 1, Yes 2, the order of the words), and rows are dealt by
+    question once: criteria and questions are then counted where they stand."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("Root_ID"), F.col("l_linenumber").alias("Criterion_No"), "l_returnflag", "l_quantity").repartition("Root_ID")
+    one = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 0).otherwise(1)
+    two = F.when(F.col("l_quantity") <= 30, 2).when(F.col("l_quantity") <= 45, 0).otherwise(1)
+    least = li.groupBy("Root_ID", "Criterion_No").agg(F.min(one).alias("j1"), F.min(two).alias("j2"))
+    five, word = F.col("Root_ID") % 5, lambda c: F.when(c == 2, "Yes").when(c == 0, "No").otherwise("Unsure")
+    both = F.explode(F.array(*(F.struct(F.lit(j).alias("Judge"), word(F.col(j)).alias("Verdict")) for j in ("j1", "j2"))))
+    return least.select(
+        F.concat(F.lit("type"), (F.col("Root_ID") % 3 + 1).cast("string")).alias("QA_Type"), F.concat(F.lit("b"), (F.col("Root_ID") % 4 + 1).cast("string")).alias("Batch"),
+        F.when(five == 0, "reg").when(five == 1, "dynamic_reg").when(five == 2, "generic").otherwise("dynamic_generic").alias("Seed_Type"), "Root_ID", "Criterion_No", both.alias("x"),
+    ).select("QA_Type", "Batch", "Seed_Type", "Root_ID", "Criterion_No", "x.*")
 
 
-CORPUS_SQL = "corpus AS (SELECT doc_id, lang AS QA_Type, source AS Batch, split_part(coalesce(text, ''), '.', 1) AS Question FROM documents)"
+CORPUS_SQL = "corpus AS (SELECT doc_id, lang AS QA_Type, source AS Batch, coalesce(text, '') AS Question FROM documents)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as questions."""
     d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("lang").alias("QA_Type"), F.col("source").alias("Batch"), F.substring_index(F.coalesce("text", F.lit("")), ".", 1).alias("Question"))
+    return d.select("doc_id", F.col("lang").alias("QA_Type"), F.col("source").alias("Batch"), F.coalesce("text", F.lit("")).alias("Question"))
 
 
 PAIRED_SQL = "paired AS (SELECT doc_id, lang AS QA_Type, source AS Cluster, quality AS a, 1 - toxic AS b FROM labels JOIN documents USING (doc_id))"

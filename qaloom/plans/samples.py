@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaloom.operators import sampling as P
+from qaloom.operators import similarity as S
 from qaloom.plans.registry import query
 from qaloom.tables import load
 
@@ -54,13 +55,31 @@ def allocate_weights(spark, sf_dir):
     return out.select("t", F.round("acc", 6).alias("acc"), F.round("w", 6).alias("weight"))
 
 
-@query("""WITH s AS (SELECT DISTINCT lang AS x FROM documents) SELECT d.doc_id, s.x AS other, row_number() OVER (PARTITION BY d.doc_id ORDER BY sha1(CAST(d.doc_id AS VARCHAR) || '|' || s.x)) AS nth FROM documents d JOIN s ON s.x <> d.lang QUALIFY nth <= 2""")
+_WORDS = "list_distinct(string_split(lower({0}), ' '))"
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS k, c_mktsegment AS p, n_name AS e, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer JOIN nation ON n_nationkey = c_nationkey), n AS (SELECT count(*) AS n FROM r),
+ d AS (SELECT k, p, e, t, ('0x' || substr(md5('11|' || CAST(k AS VARCHAR) || '|' || CAST(t AS VARCHAR)), 1, 8))::BIGINT % n AS pos FROM r, n, range(1, 25) x(t)),
+ m AS (SELECT d.k, r.k AS other, min(t) AS t FROM d JOIN r USING (pos) WHERE d.k <> r.k AND (100.0 * len(list_intersect({_WORDS.format('d.p')}, {_WORDS.format('r.p')})) / len(list_distinct({_WORDS.format('d.p')} || {_WORDS.format('r.p')}))
+ + 100.0 * len(list_intersect({_WORDS.format('d.e')}, {_WORDS.format('r.e')})) / len(list_distinct({_WORDS.format('d.e')} || {_WORDS.format('r.e')}))) / 2 < 20 GROUP BY ALL)
+ SELECT k, other, CAST(row_number() OVER (PARTITION BY k ORDER BY t) AS INTEGER) AS nth FROM m QUALIFY nth <= 3""")
 def distractor_sample(spark, sf_dir):
-    """Two drawn values unlike a row's own; the pool is the few distinct values, and the draw ends even if it is too small."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    pool = d.select("lang").distinct().agg(F.array_sort(F.collect_set("lang")).alias("pool"))  # a column's few categories
-    drawn = F.array_sort(F.transform(F.filter("pool", lambda x: x != F.col("lang")), lambda x: F.struct(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), x)).alias("h"), x.alias("other"))))
-    return d.crossJoin(F.broadcast(pool)).select("doc_id", F.posexplode(F.slice(drawn, 1, 2)).alias("nth", "x")).select("doc_id", "x.other", (F.col("nth") + 1).alias("nth"))
+    """Three other customers of each, drawn by hash, whose segment and nation are less than 20 per cent alike."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    s = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("persona"), F.col("n_name").alias("env"))
+    return S.dissimilar_draws(s, "k", "persona", "env", 3, 11)
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_mktsegment AS persona, c_name AS env, ['reg', 'generic', 'dynamic_reg', 'dynamic_generic'][c_custkey % 4 + 1] AS seed, 'clause ' || (c_custkey % 12) AS reg FROM customer),
+ x AS (SELECT *, CASE WHEN seed IN ('generic', 'dynamic_generic') THEN 'GENERIC' WHEN c_ok THEN CAST(k % 12 AS VARCHAR) END AS area FROM (SELECT *, k % 12 < 8 AS c_ok FROM s))
+ SELECT k, 'USER_PERSONA: ' || persona || chr(10) || 'COLLECTION_OF_DOCS: ' || env || chr(10) || 'REGULATORY_AREA_ID: ' || area AS exemplar FROM x WHERE area IS NOT NULL ORDER BY sha1('3|' || CAST(k AS VARCHAR)) LIMIT 5""")
+def exemplars(spark, sf_dir):
+    """Five drawn scenarios with the area that their clause has; some clauses are unknown, one has two ids."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("reg", "generic", "dynamic_reg", "dynamic_generic"))), (k % 4 + 1).cast("int"))
+    s = load(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_mktsegment").alias("Persona"), F.col("c_name").alias("Environment"), kind.alias("Seed_Type"), F.concat(F.lit(" clause "), (k % 12).cast("string")).alias("Reg_Text"))
+    clauses = spark.createDataFrame([(str(i), f"clause {i}") for i in range(8)] + [("9", "clause 3"), ("10", " ")], "id string, clause string")
+    return P.exemplars(s, clauses, "k", 5, 3)
 
 
 @query("""SELECT Judgement, Verdict, count(*) AS n FROM (SELECT unnest(['quality', 'toxic']) AS Judgement, unnest([quality, toxic]) AS Verdict FROM labels) GROUP BY ALL""")

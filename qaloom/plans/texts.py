@@ -20,16 +20,19 @@ def tokens_py(spark, sf_dir):
 
 
 def _checklists(spark, sf_dir):
-    """A checklist a conversation: its turns as numbered lines, some in bold."""
-    c = load(spark, sf_dir, "conversations").where("not text like '%\n%'")
+    """A checklist a conversation: its whole turns as numbered lines, line ends folded, some in bold, within a fence."""
     even = F.col("turn") % 2 == 0
-    line = F.concat((F.col("turn") + 1).cast("string"), F.when(even, ". ").otherwise(") **"), F.substring("text", 1, 20), F.when(even, "").otherwise("**"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n").alias("checklist"))  # one conversation
+    flat = X.py_strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    line = F.concat((F.col("turn") + 1).cast("string"), F.when(even, ". ").otherwise(") **"), flat, F.when(even, "").otherwise("**"))
+    c = load(spark, sf_dir, "conversations")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n")  # one conversation
+    return c.groupBy("conv_id").agg(F.concat(F.lit("```\n"), rows, F.lit("\n```\nno line")).alias("checklist"))
 
 
-@query("SELECT conv_id, array_to_string(list(regexp_replace(left(text, 20), '\\s+$', '') ORDER BY turn), '|') AS criteria FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' GROUP BY conv_id")
+@query("SELECT conv_id, md5(array_to_string(list(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') ORDER BY turn), '|')) AS digest, count(*) AS n FROM conversations WHERE coalesce(regexp_replace(text, '\\s+', '', 'g'), '') <> '' GROUP BY conv_id")
 def numbered_lines(spark, sf_dir):
-    return _checklists(spark, sf_dir).select("conv_id", F.array_join(X.numbered_lines(F.col("checklist")), "|").alias("criteria"))
+    body = X.numbered_lines(F.col("checklist"))
+    return _checklists(spark, sf_dir).select("conv_id", F.md5(F.array_join(body, "|")).alias("digest"), F.size(body).cast("long").alias("n")).where("n > 0")
 
 
 @query("""SELECT user_id, array_to_string(list(v ORDER BY i), ',') AS verdicts FROM (SELECT u.user_id, i, coalesce(any_value(CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'No' END) , 'Unsure') AS v
@@ -61,12 +64,12 @@ def empty_bullets(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.empty_bullets(X.lines(F.col("text"))).alias("b")).select("doc_id", "b.*")
 
 
-@query(f"""SELECT doc_id, md5(regexp_replace(array_to_string(list_filter({_LINES}, lambda x: NOT starts_with({_PY}, 'Title:')), chr(10)), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')) AS digest FROM documents""")
+@query(f"""SELECT doc_id, md5(regexp_replace(array_to_string(list_filter({_LINES}, lambda x: NOT contains(lower(x), 'title')), chr(10)), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')) AS digest FROM documents""")
 def strip_title(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_titles(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
-@query("""SELECT item_id, regexp_replace('Title: ' || split_part(text, ' the ', 1), '^\\s+|\\s+$', '', 'g') AS kept FROM benchmark""")
+@query("""SELECT item_id, regexp_replace('Title: ' || regexp_replace(split_part(text, ' the ', 1), '^\\s+|\\s+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS kept FROM benchmark""")
 def doc_cut(spark, sf_dir):
     """Documents wrapped as a model returns them: talk before the title, a conclusion after the text."""
     b = load(spark, sf_dir, "benchmark")
@@ -94,12 +97,13 @@ def json_decode(spark, sf_dir):
     return e.select("event_id", F.size(back).alias("n_keys"), F.array_join(F.array_sort(back), ",").alias("names"))
 
 
-@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn) AS v FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id) SELECT conv_id, CAST(i AS VARCHAR) AS k, v[i] AS role FROM m, range(1, 400) r(i) WHERE i <= len(v)""")
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) AS k, role FROM conversations WHERE role <> 'system'""")
 def map_renumber(spark, sf_dir):
-    """Maps from number text to a value lose entries, go back in numeric order and are numbered anew."""
-    c = load(spark, sf_dir, "conversations").where("turn % 3 <> 1")
-    m = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), "role"))).alias("m"))  # one conversation
-    return m.select("conv_id", F.explode(X.renumbered_map(F.col("m"))).alias("k", "role"))
+    """Maps from number text to a turn lose their system turns, go back in numeric order and are numbered anew."""
+    entry = F.struct((F.col("turn") + 8).cast("string"), "role")  # 8, 9, 10, ...: in the order of texts 10 comes first
+    m = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))  # one conversation
+    left = F.map_filter("m", lambda k, v: v != "system")
+    return m.select("conv_id", F.explode(X.renumbered_map(left)).alias("k", "role"))
 
 
 @query("""SELECT a.conv_id, a.turn, count(b.turn) AS n_others, count(*) FILTER (b.role = a.role) AS n_like FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY a.conv_id, a.turn""")
@@ -152,14 +156,17 @@ def stage_trace(spark, sf_dir):
     return out.groupBy("stage").agg(F.count_if(F.contains("t", F.lit(" the "))).alias("n_hits"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH d AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AND 1 > greatest(1e-6, (2 * o_orderkey + 3) * 1e-3) AS off FROM orders) SELECT k, reason IS NULL AS ok, reason FROM (SELECT k, CASE WHEN k % 13 = 0 THEN 'no calculation' WHEN k % 11 = 0 THEN 'too few steps' WHEN off THEN 'mismatch' WHEN k % 7 = 0 THEN 'unparsed step' WHEN k % 3 = 0 THEN 'independent steps' END AS reason FROM d)""")
 def numeric_grounding(spark, sf_dir):
-    """Calculations out of orders, some with a wrong step: whether each holds, and why not."""
-    o = load(spark, sf_dir, "orders")
+    """Calculations out of orders: whether each holds, and why not.  A wrong step, a step without a value, steps that don't build on
+    each other, too few steps, none."""
     k = F.col("o_orderkey")
     bad = F.when(k % 5 == 0, 1).otherwise(0)
-    text = F.concat(F.lit("Calculation:\nStep 1: base = "), k.cast("string"), F.lit(" + 1 = "), (k + 1).cast("string"), F.lit("\nStep 2: twice = "), (k + 1).cast("string"), F.lit(" * 2 = "), (2 * k + 2 + bad).cast("string"), F.lit("\nStep 3: half = "), (2 * k + 2).cast("string"), F.lit(" / 4 = "), ((2 * k + 2) / 4).cast("string"), F.lit("\nQuestion: ?"))
-    return o.select("o_orderkey", C.numeric_grounding(text).alias("x")).select("o_orderkey", "x.*")
+    first = F.when(k % 3 == 0, F.concat(F.lit("Step 1: base = 0.5 + 0.25 = 0.75"))).otherwise(F.concat(F.lit("Step 1: base = "), k.cast("string"), F.lit(" + 1 = "), (k + 1).cast("string")))
+    second = F.concat(F.lit("\nStep 2: twice = "), (k + 1).cast("string"), F.lit(" * 2 = "), (2 * k + 2 + bad).cast("string"))
+    third = F.when(k % 11 == 0, "").when(k % 7 == 0, "\nStep 3: half").otherwise(F.concat(F.lit("\nStep 3: half = "), (4 * k).cast("string"), F.lit(" / 4 = "), k.cast("string"), F.lit(".0")))
+    text = F.concat(F.when(k % 13 == 0, "Sums:\n").otherwise("Calculation:\n"), first, second, third, F.lit("\nQuestion: ?\nStep 4: no"))
+    return load(spark, sf_dir, "orders").select(k.alias("k"), C.numeric_grounding(text).alias("x")).select("k", "x.*")
 
 
 @query()
@@ -169,11 +176,12 @@ def repeated_phrase(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), q AS (SELECT conv_id, turn + 1 AS turn, text AS question FROM conversations WHERE role <> 'assistant')
- SELECT conv_id, turn, length(question) AS question_chars, length(text) AS reply_chars, contains(lower(text), 'correct') AS graded FROM q JOIN r USING (conv_id, turn)""")
+ SELECT conv_id, turn, length(question) AS question_chars, length(text) AS reply_chars, CASE WHEN text IS NULL THEN FALSE ELSE contains(lower(text), 'correct') END AS graded FROM q LEFT JOIN r USING (conv_id, turn)""")
 def replay_solve_eval(spark, sf_dir):
     """Questions become prompts, recorded replies answer them, a grader's rule marks the replies."""
     c = load(spark, sf_dir, "conversations")
     asked = c.where("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     asked = asked.withColumn("prompt", X.prompt("Q {id}: {question}", {"id": F.concat_ws("/", "conv_id", "turn"), "question": F.col("question")}))
     recorded = c.where("role = 'assistant'").join(asked.select("conv_id", "turn", "prompt"), ["conv_id", "turn"]).select("prompt", F.col("text").alias("reply"))
-    return replay(asked, recorded).where("reply is not null").select("conv_id", "turn", F.length("question").alias("question_chars"), F.length("reply").alias("reply_chars"), X.graded_correct(F.col("reply")).alias("graded"))
+    got = replay(asked, recorded)  # a question without a reply is wrong
+    return got.select("conv_id", "turn", F.length("question").alias("question_chars"), F.length("reply").alias("reply_chars"), F.coalesce(X.graded_correct(F.col("reply")), F.lit(False)).alias("graded"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qaloom.functions.text import py_tokens
 from qaloom.operators.guards import RelationError
 from qaloom.operators.relations import same_rows
 
@@ -32,6 +33,14 @@ def read_tsv(spark: SparkSession, path: str | list[str], names: Sequence[str], s
     return df.select(*(F.when(F.col(n).isin("", "NA"), None).otherwise(F.col(n)).alias(n) for n in names)) if missing else df
 
 
+def read_typed_tsv(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
+    """A TSV relation of a given schema; empty fields and NA are null, and a value that its type doesn't take stops the job
+    (strict) or is null."""
+    fields = T.StructType.fromDDL(schema)
+    raw = read_tsv(spark, path, fields.names, strict, missing=True)
+    return raw.select(*(F.col(f.name).cast(f.dataType) if strict else F.col(f.name).try_cast(f.dataType) for f in fields)).toDF(*fields.names)
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", quote_all: bool = False) -> None:
     """Writes so that read_tsv gives the same rows."""
     df.write.mode(mode).options(**_TSV).option("emptyValue", "" if quote_all else '""').option("nullValue", "\u0001").option("quoteAll", str(quote_all).lower()).csv(path)
@@ -93,6 +102,41 @@ def read_log(spark: SparkSession, path: str, separator: str, pattern: str) -> Da
     return spark.read.option("lineSep", separator).text(path).select(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("found"))
 
 
+def append_tsv(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of TSV files, each with its header once."""
+    write_tsv(df, path, "append")
+
+
+def log_counts(spark: SparkSession, path: str, separator: str, pattern: str, **parts: str) -> DataFrame:
+    """value, n and a column for each of `parts` (a pattern over the file's path): the first find of each record, in lower case."""
+    record = spark.read.option("lineSep", separator).text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    named = [F.regexp_extract("_path", p, 1).alias(n) for n, p in parts.items()]
+    found = record.select(*named, F.lower(F.get(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)), F.lit(0))).alias("value"))
+    return found.where("value is not null").groupBy(*parts, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_manifest(shards: Sequence[str], spark: SparkSession, path: str) -> None:
+    """One line a shard."""
+    spark.createDataFrame([(s,) for s in shards], "value string").coalesce(1).write.text(path)
+
+
+def row_text(number: Column, question: Column, answer: Column, documents: Column) -> Column:
+    """A row for people to read: number, size in words, documents, question and answer between rules."""
+    rule = "-" * 80
+    size = F.size(py_tokens(F.concat_ws(" ", documents, question)))
+    return F.concat_ws("\n", F.concat(F.lit("Question No: "), number.cast("string")), F.concat(F.lit("Context Size: "), size.cast("string")), F.lit(""), F.lit("Documents:"), F.lit(""), documents, F.lit(""), F.lit(rule), F.lit(""), F.concat(F.lit("Question: "), question), F.lit(""), F.lit("Answer:"), answer, F.lit(""), F.lit(rule))
+
+
+def write_row_texts(rows: DataFrame, key: str, text: str, path: str) -> None:
+    """One folder with one text file for each key."""
+    rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value")).repartition("key").write.partitionBy("key").text(path)
+
+
+def read_row_texts(spark: SparkSession, path: str) -> DataFrame:
+    """key and value of what write_row_texts wrote."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "/key=([^/]*)/", 1).alias("key"), F.regexp_replace("value", r"\n$", "").alias("value"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("shard")).where("shard <> ''")
 

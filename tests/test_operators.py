@@ -187,11 +187,62 @@ def test_responder(spark):
     assert [(x.k, x.attempt) for x in responder.first_success(attempts, ["k"], "attempt", F.col("ok"), 3).collect()] == [(1, 2)]
 
 
-def test_bootstrap_is_stable_and_covers(spark):
-    rows = [(f"c{i % 30}", int(i % 3 == 0), int(i % 4 == 0)) for i in range(600)]
-    r = testing.cluster_bootstrap(spark.createDataFrame(rows, "cluster string, a int, b int"), "cluster", 500).first()
-    true = sum(a - b for _, a, b in rows) / len(rows)
-    assert r.lo < true < r.hi and math.isclose(r.mean, true, abs_tol=0.02)
+def test_bootstrap_is_as_wide_as_a_random_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for clusters in (7, 20, 200):
+        rows = [(f"c{i % clusters:03d}", int(rng.random() < 0.5 + 0.3 * (i % clusters % 3 - 1)), int(rng.random() < 0.5)) for i in range(1_200)]
+        r = testing.cluster_bootstrap(spark.createDataFrame(rows, "cluster string, a int, b int"), "cluster", 4_000).first()
+        d, n = np.zeros(clusters), np.zeros(clusters)
+        for c, a, b in rows:
+            d[int(c[1:])] += a - b
+            n[int(c[1:])] += 1
+        picks = rng.integers(0, clusters, (40_000, clusters))
+        means = d[picks].sum(1) / n[picks].sum(1)
+        lo, hi = np.percentile(means, [2.5, 97.5])
+        assert abs((r.hi - r.lo) / (hi - lo) - 1) < 0.06 and abs(r.mean - means.mean()) < 0.01 and abs(r.lo - lo) < 0.03
+
+
+def test_tests_meet_known_values(spark):
+    assert math.isclose(statistics.student_two_sided(2.228139, 10), 0.05, abs_tol=1e-6) and math.isclose(statistics.student_two_sided(1.0, 1), 0.5, abs_tol=1e-12) and statistics.student_two_sided(0.0, 5) == 1.0
+    assert math.isclose(statistics.signed_rank_two_sided(10, 8), 0.048828125) and statistics.signed_rank_two_sided(4, 5) == 1.0
+    d = spark.createDataFrame([("x", float(v)) for v in (1, -2, 3, 4, 5, 6, 7, 8, -9, 10, 0)] + [("y", 1.0), ("y", 1.0)], "g string, d double")
+    w = {r.g: r for r in testing.wilcoxon(d, "d", ["g"]).collect()}
+    assert (w["x"].n, w["x"].w_plus, w["x"].w_minus) == (10, 44.0, 11.0) and math.isclose(w["x"].p, statistics.signed_rank_two_sided(10, 11)) and 0 < w["y"].p < 1
+    t = {r.g: r for r in testing.paired_t(d, "d", ["g"]).collect()}
+    assert math.isclose(t["x"].t, 3.0 / (5.477225575051661 / 11**0.5), rel_tol=0.2) and t["y"].t is None and t["y"].p is None
+
+
+def test_binomial_of_many(spark):
+    df = spark.createDataFrame([(3_000_000_000, 2_999_900_000), (30_000, 30_600), (9_000, 9_300), (0, 5)], "b long, c long")
+    p = [r.p for r in df.select(statistics.binomial_two_sided(F.col("b"), F.col("c")).alias("p")).collect()]
+    z = lambda b, c: math.erfc((abs(b - c) - 1) / math.sqrt(b + c) / math.sqrt(2))
+    assert all(math.isclose(x, z(b, c), rel_tol=2e-3) for x, (b, c) in zip(p, ((3_000_000_000, 2_999_900_000), (30_000, 30_600), (9_000, 9_300)), strict=False)) and p[3] == 0.0625
+
+
+def test_deep_expressions_are_unparsed():
+    deep = "Calculation:\nStep 1: a = " + "(" * 5000 + "1" + ")" * 5000 + " = 1\nStep 2: b = " + "-" * 50_000 + "1 = 1\nStep 3: c = 1 + 1 = 2"
+    assert python_checks.grounded(deep) == (False, "unparsed step") and python_checks.literals("(" * 5000) == []
+
+
+def test_guards_of_stages(spark):
+    df = spark.createDataFrame([("a", "reg"), ("a", "generic"), (None, "reg")], "k string, Seed_Type string")
+    assert guards.with_support(df, ["k"], 2).count() == 2 and guards.with_support(df, ["k"], 1).count() == 3 and guards.track_rows(df, "reg").count() == 2
+    for broken in (lambda: guards.track_rows(df, "other"), lambda: guards.require_same_count(df, df.limit(1)), lambda: relations.merged_shards({1: df, 2: None}, {1, 2}), lambda: relations.merged_shards({1: None}, set(), False)):
+        with pytest.raises(guards.RelationError):
+            broken()
+    assert relations.merged_shards({1: df, 2: None}, {1}).count() == 3
+    with pytest.raises(Exception, match="without"):
+        relations.remapped(df, df.where("k is not null").select("k", F.lit(1).alias("v")).distinct(), ["k"], "v").collect()
+
+
+def test_summaries_leave_no_view(spark):
+    v = spark.createDataFrame(votes({"PASS": 2}), SCHEMA)
+    assert panel.summary_sets(panel.question_scores(panel.consensus(v, key=[*panel.CRITERION, "Seed_Type"]), key=[*panel.QUESTION, "Seed_Type"]), ["Seed_Type"]).count() == 2
+    assert all(t.name != "_scores" for t in spark.catalog.listTables())
+    modes = {r.unsure_mode: r.Pass_Frac for r in panel.mode_fractions(spark.createDataFrame([("t", "b", "reg", 1, c, j, x) for c, pair in enumerate([("Yes", "Unsure"), ("Unsure", "Unsure"), ("No", "Unsure")]) for j, x in zip("xy", pair, strict=True)], SCHEMA)).collect()}
+    assert {m: round(x, 3) for m, x in modes.items()} == {m: round(panel.question_scores(panel.consensus(spark.createDataFrame([("t", "b", "reg", 1, c, j, x) for c, pair in enumerate([("Yes", "Unsure"), ("Unsure", "Unsure"), ("No", "Unsure")]) for j, x in zip("xy", pair, strict=True)], SCHEMA), m)).first().Pass_Frac, 3) for m in panel.MODES}
 
 
 def test_stream_equals_batch(spark, tmp_path):
