@@ -82,14 +82,18 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _cleanup(spark: SparkSession) -> Iterator[None]:
-    """While a table is written: nothing needs the shuffle files once it stands."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: nothing needs the shuffle files once it stands, and a few folders are written side by side,
+    without a sort."""
+    ours = {CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _listed(df: DataFrame, path: str) -> DataFrame:
@@ -98,13 +102,14 @@ def _listed(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows of `df`, computed once: written as a table to the shared folder and read again, so lost executors cost
-    no more than the tasks that they ran."""
+    no more than the tasks that they ran.  by: a column of few values, of which a reader wants one or two."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _cleanup(spark):
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    with _writing(spark):
+        writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", 0)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return _listed(spark.read.schema(df.schema).parquet(path), path)
 
 
@@ -115,7 +120,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"qaloom_{uuid.uuid4().hex}"
     path = new_path(spark, "bucketed")
-    with _cleanup(spark):
+    with _writing(spark):
         df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

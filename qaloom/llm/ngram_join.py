@@ -65,10 +65,10 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     return value, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def set_digests(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set, whatever the order."""
-    one, two = (sums(mix(value ^ np.uint64(k)).view(np.int64), offsets) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-    return one, two
+def class_numbers(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """63 bits of each set and its size, whatever the order of its n-grams: sets of one class have one number."""
+    one, two = (sums(mix(value ^ np.uint64(k)).view(np.int64), offsets).view(np.uint64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    return (mix(one ^ mix(two + np.diff(offsets).astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
 
 
 def _z(*arrays: np.ndarray) -> bytes:
@@ -91,12 +91,11 @@ def _digests(docs: DataFrame, words: int) -> DataFrame:
         def each(batch: pa.RecordBatch):
             for first, block in text_blocks(batch.column(1), common.WORD_BLOCK_BYTES):
                 value, offsets = shingle_sets(block, words)
-                one, two = set_digests(value, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(np.diff(offsets)), pa.array(one), pa.array(two)], ["k", "n", "one", "two"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(np.diff(offsets)), pa.array(class_numbers(value, offsets))], ["k", "n", "cid"])
 
         return each
 
-    return common.arrow_map(docs, make, f"k {docs.schema['k'].dataType.simpleString()}, n long, one long, two long")
+    return common.arrow_map(docs, make, f"k {docs.schema['k'].dataType.simpleString()}, n long, cid long")
 
 
 def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -108,9 +107,8 @@ def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         def each(batch: pa.RecordBatch):
             for _, block in text_blocks(batch.column(0), common.WORD_BLOCK_BYTES):
                 value, offsets = shingle_sets(block, words)
-                one, two = set_digests(value, offsets)
-                size = np.diff(offsets)
-                _, first = np.unique(np.stack([one, two, size], axis=1), axis=0, return_index=True)
+                cid, size = class_numbers(value, offsets), np.diff(offsets)
+                _, first = np.unique(cid, return_index=True)
                 chosen = np.zeros(len(block), bool)
                 chosen[first] = True
                 owner = np.repeat(np.arange(len(block)), size)
@@ -124,7 +122,7 @@ def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     x, y = edges[b], edges[b + 1]
                     if x < y:
                         own, local = np.unique(owner[x:y], return_inverse=True)
-                        data = _z(np.diff(value[x:y], prepend=np.uint64(0)), local.astype(np.uint32), one[own], size[own].astype(np.uint32))
+                        data = _z(np.diff(value[x:y], prepend=np.uint64(0)), local.astype(np.uint32), cid[own], size[own].astype(np.uint32))
                         rows.append((b, int(y - x), len(own), data))
                 for at in range(0, len(rows), 64):
                     cols = zip(*rows[at : at + 64], strict=True)
@@ -141,10 +139,10 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         values, local, ids, base = [], [], [], 0
         for g, c, data in zip(*(t[x].to_pylist() for x in ("grams", "classes", "data")), strict=True):
-            v, i, one, size = _unz(data, (g, np.uint64), (g, np.uint32), (c, np.int64), (c, np.uint32))
+            v, i, cid, size = _unz(data, (g, np.uint64), (g, np.uint32), (c, np.int64), (c, np.uint32))
             values.append(np.cumsum(v, dtype=np.uint64))
             local.append(i.astype(np.int64) + base)
-            ids.append(np.stack([one, size.astype(np.int64)], axis=1))
+            ids.append(np.stack([cid, size.astype(np.int64)], axis=1))
             base += c
         value, own, ident = np.concatenate(values), np.concatenate(local), np.concatenate(ids)
         order = np.lexsort((ident[:, 1], ident[:, 0]))
@@ -181,17 +179,17 @@ def _shared(postings: DataFrame, groups: int) -> DataFrame:
 
 
 def _survivors(shared: DataFrame, groups: int) -> DataFrame:
-    """one, n, prefix, grams, codes: classes that could link, n-grams ordered rarest first; `prefix` of them could be
+    """cid, n, prefix, grams, codes: classes that could link, n-grams ordered rarest first; `prefix` of them could be
     the first that a link shares."""
 
     def meet(t: pa.Table) -> pa.Table:
         values, codes, counts, ids = [], [], [], []
         for g, c, data in zip(*(t[x].to_pylist() for x in ("grams", "classes", "data")), strict=True):
-            v, code, count, one, size = _unz(data, (g, np.uint64), (g, np.uint16), (c, np.uint32), (c, np.int64), (c, np.uint32))
+            v, code, count, cid, size = _unz(data, (g, np.uint64), (g, np.uint16), (c, np.uint32), (c, np.int64), (c, np.uint32))
             values.append(v)
             codes.append(code)
             counts.append(count)
-            ids.append(np.stack([one, size.astype(np.int64)], axis=1))
+            ids.append(np.stack([cid, size.astype(np.int64)], axis=1))
         value, code, count, ident = (np.concatenate(x) for x in (values, codes, counts, ids))
         ident, number = np.unique(ident, axis=0, return_inverse=True)
         own = np.repeat(number.ravel(), count)
@@ -207,9 +205,9 @@ def _survivors(shared: DataFrame, groups: int) -> DataFrame:
         grams = [value[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         coded = [code[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         out = [pa.array(np.ascontiguousarray(ident[chosen, i])) for i in range(2)]
-        return pa.table([*out, pa.array((m - needed + 1)[chosen]), pa.array(grams, pa.binary()), pa.array(coded, pa.binary())], names=["one", "n", "prefix", "grams", "codes"])
+        return pa.table([*out, pa.array((m - needed + 1)[chosen]), pa.array(grams, pa.binary()), pa.array(coded, pa.binary())], names=["cid", "n", "prefix", "grams", "codes"])
 
-    return shared.repartition(groups // 2, "grp").groupBy("grp").applyInArrow(meet, "one long, n long, prefix long, grams binary, codes binary")
+    return shared.repartition(groups // 2, "grp").groupBy("grp").applyInArrow(meet, "cid long, n long, prefix long, grams binary, codes binary")
 
 
 def _prefix_grams(sets: DataFrame) -> DataFrame:
@@ -333,24 +331,30 @@ def _join_cells(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _links(sets: DataFrame, whole: DataFrame) -> DataFrame:
-    """sets: cid, n, grams, codes; whole: cid, comp.  Spanning links a, b of the classes."""
-    member = common.written(sets.select("cid", "n", "grams", "codes").join(whole, "cid"), "members")
-    size = member.groupBy("comp").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.octet_length("grams") / 8).alias("grams"))
+def _members(sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """sets: cid, n, grams, codes; whole: cid, comp.  The sets that stand in a component, with it and the number of its chunks,
+    which are counted first, so that the sets themselves move once at most."""
+    light = sets.select("cid", (F.octet_length("grams") / 8).alias("g")).join(whole, "cid")
+    size = light.groupBy("comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("g").alias("grams"))
     parts = F.greatest(F.ceil(F.col("classes") / CHUNK), F.ceil(F.col("grams") / CHUNK_GRAMS)).cast("int")
     size = common.written(size.select("comp", parts.alias("parts")), "sizes")
+    return common.written(sets.select("cid", "n", "grams", "codes").join(whole.join(size, "comp"), "cid"), "members")
+
+
+def _links(member: DataFrame) -> DataFrame:
+    """Spanning links a, b of the classes, from _members."""
     cell = lambda *x: F.concat_ws("/", *(F.col(c).cast("string") if isinstance(c, str) else c for c in x))
     side = lambda k: F.lit(k).cast("int").alias("side")
     each = ["cid", "n", "grams", "codes"]
     deal = lambda c: F.pmod(F.xxhash64("cid"), F.col(c)).cast("int")
 
-    first = member.join(size, "comp").select(cell("comp", deal("parts")).alias("cell"), side(0), *each, F.col("cid").alias("label"))
+    first = member.select(cell("comp", deal("parts")).alias("cell"), side(0), *each, F.col("cid").alias("label"))
     found = common.written(_join_cells(first), "links")
-    large = size.where("parts > 1")
-    if not large.take(1):
+    inside = member.where("parts > 1")
+    if not inside.take(1):
         return found
     # representatives of what the chunks found join the chunks
-    inside = common.written(member.join(large, "comp"), "large")
+    inside = common.written(inside, "large")
     labels = _labelled(inside, found)
     reps = labels.where("cid = label")
     count = reps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("rep_parts"))
@@ -385,8 +389,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     A text is lower-cased in A-Z; its set holds the distinct n-grams of `words` words; with fewer words the whole sequence
     is one n-gram.  Sets link when OF * intersection >= LEAST * union.  component_id: the least key that links reach.  A null
     text or one without words has an empty set, links with nothing and is a component of its own, as its row is.  Rows with
-    a null key link as others do but name no component.  N-grams are compared by 64-bit hashes, and in the
-    shuffle a class goes by 64 bits and its size.
+    a null key link as others do but name no component.  N-grams are compared by 64-bit hashes and a
+    class goes by 63 bits of its set.
     """
     common.ready(docs.sparkSession)
     parts = common.partitions(docs, RANGE_BYTES)
@@ -396,20 +400,20 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def _components(slim: DataFrame, key: str, words: int, parts: int) -> DataFrame:
-    own = common.written(_digests(slim, words).withColumn("uid", F.monotonically_increasing_id()), "digests")
-    ident = ["one", "two", "n"]
-    classes = common.written(own.where("n > 0").groupBy(*ident).agg(F.min("k").alias("class_id"), F.min("uid").alias("cid")), "classes")
-    shared = _shared(_postings(slim.select("t"), words, 2 * parts), 2 * parts)
-    sets = common.written(_survivors(shared, 2 * parts).join(classes.select("one", "n", "cid"), ["one", "n"]), "sets")
-    grams = common.written(_prefix_grams(sets), "prefixes")
-    star = grams.groupBy("gram").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "b")
-    whole = components(grams.join(star, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
-    links = _links(sets, whole.select(F.col("node").alias("cid"), F.col("label").alias("comp")))
-    label = components(links).withColumnRenamed("node", "cid")
-    labelled = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    own = common.written(_digests(slim, words), "digests")
+    classes = own.where("n > 0").groupBy("cid").agg(F.min("k").alias("class_id"))
+    with common.scratch():
+        shared = _shared(_postings(slim.select("t"), words, 2 * parts), 2 * parts)
+        sets = common.bucketed(_survivors(shared, 2 * parts), "cid")
+        grams = common.written(_prefix_grams(sets), "prefixes")
+        star = grams.groupBy("gram").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "b")
+        whole = components(grams.join(star, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
+        member = common.keep(_members(sets, whole.select(F.col("node").alias("cid"), F.col("label").alias("comp"))))
+    label = components(_links(member)).withColumnRenamed("node", "cid")
+    labelled = common.written(classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
     # written, so that a large component's label is a plain exchange, which Spark splits
     least = common.written(labelled.groupBy("label").agg(F.min("class_id").alias("component_id")), "least")
-    named = labelled.join(least, "label").select(*ident, "class_id", "component_id")
-    many = own.where("n > 0").join(named, ident).select("k", "n", "component_id", "class_id")
+    named = common.written(labelled.join(least, "label").select("cid", "class_id", "component_id"), "named")
+    many = own.where("n > 0").join(named, "cid").select("k", "n", "component_id", "class_id")
     alone = own.where("n = 0").select("k", "n", F.col("k").alias("component_id"), F.col("k").alias("class_id"))
     return common.written(many.union(alone).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id"), "components")

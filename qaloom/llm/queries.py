@@ -11,6 +11,7 @@ from qaloom.llm.ann import nearest
 from qaloom.llm.bpe_codec import codec_digest
 from qaloom.llm.common import table
 from qaloom.llm.ngram_join import ngram_components
+from qaloom.llm.oracles import JACCARD_SQL, QUALITY_SQL
 from qaloom.llm.packing import best_fit_packing
 from qaloom.llm.passage_dedup import repeated_passages
 from qaloom.llm.preference import PREFERENCE_SQL, preference_query
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_format": PREFERENCE_SQL}
+    return {"op2_ngram_jaccard_join": JACCARD_SQL, "op5_quality_rules": QUALITY_SQL, "op7_preference_format": PREFERENCE_SQL}

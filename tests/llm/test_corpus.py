@@ -321,9 +321,9 @@ def test_row_numbers_outlast_other_splits(spark, tmp_path, monkeypatch):
         count[0] += 1
         spark.conf.set(conf, old if count[0] % 2 else "2000")
 
-    def written(*a):
+    def written(*a, **k):
         turn()
-        return real(*a)
+        return real(*a, **k)
 
     try:
         monkeypatch.setattr(passage_dedup.common, "written", written)
@@ -341,3 +341,80 @@ def test_row_numbers_outlast_other_splits(spark, tmp_path, monkeypatch):
         assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[c][0] for c in want})
     finally:
         spark.conf.set(conf, old)
+
+
+def test_neighbours_of_copies_in_an_ordered_table(spark):
+    rng, dim = np.random.default_rng(6), 64
+    distinct = rng.normal(size=(101, dim)) * 3
+    x = np.repeat(distinct, 40, axis=0)  # ordered by cluster
+    rows = [(i, v.tolist(), 1, "v", 2, 3.0) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int, v string, list int, bound double").repartitionByRange(6, "vec_id")
+    got = ann.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    assert got.query_id.nunique() == 41 and (got.score == 0).all()
+    for q, own in got.groupby("query_id"):  # ties go to the smaller ids
+        copies = [i for i in range(q // 40 * 40, q // 40 * 40 + 40) if i != q]
+        assert list(own.sort_values("rank").vec_id) == copies[:10]
+
+
+def test_recall_at_64_dimensions_in_order_of_topics(spark):
+    rng, dim = np.random.default_rng(7), 64
+    topics = rng.normal(size=(30, dim)) * 2
+    x = np.concatenate([t + rng.normal(size=(150, dim)) for t in topics])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartitionByRange(6, "vec_id")
+    got = ann.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(own.vec_id))
+    assert len(got) == 450 and hits / 450 >= 0.9
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from qaloom.llm import common
+
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(near_copies(40))], "doc_id long, text string")
+    assert ngram_join.ngram_components(docs).count() == 40 and passage_dedup.repeated_passages(docs).count() > 0
+    left = {p.name.split("-")[0] for p in folder.iterdir()} - {n.split("-")[0] for n in before}
+    assert left <= {"components", "passages"}
+    assert spark.catalog.listTables() == [] or all(not t.name.startswith("qaloom_") for t in spark.catalog.listTables())
+
+
+def test_one_text_of_megabytes(spark):
+    rng = random.Random(16)
+    passage = prose(rng, 70)
+    long = prose(rng, 250_000) + " " + passage
+    docs = spark.createDataFrame([(1, long), (2, "a " * 60 + passage), (3, prose(rng, 90))], "doc_id long, text string")
+    got = {r.doc_id: r for r in passage_dedup.repeated_passages(docs).collect()}
+    assert set(got) == {1, 2} and long.encode()[got[1].start : got[1].end].decode() == passage
+    assert {r.doc_id: r.n_shingles for r in ngram_join.ngram_components(docs).collect()} == {i: len(shingles(t)) for i, t in ((1, long), (2, "a " * 60 + passage), (3, docs.where("doc_id = 3").first().text))}
+
+
+def test_twins_of_the_queries(spark):
+    """DuckDB's answers on the driver's small table, where it is."""
+    import os
+
+    from qaloom.llm import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("op2_ngram_jaccard_join", "op5_quality_rules"):
+        got, want = q.queries()[name](spark, sf).toPandas(), con.execute(q.oracle_sql()[name]).fetchdf()
+        pd.testing.assert_frame_equal(got.sort_values("doc_id").reset_index(drop=True), want[got.columns].sort_values("doc_id").reset_index(drop=True), check_dtype=False)
+
+
+def test_verdicts_on_hard_rows_equal_sql(spark):
+    rows = hard_rows()[:18]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]  # SQL joins by doc_id
+    got = quality.quality_verdicts(hard(spark, rows)).toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r[0], r[1], r[2], r[3]) for r in rows], columns=["doc_id", "text", "lang", "source"]))
+    want = con.execute(queries.oracle_sql()["op5_quality_rules"]).fetchdf()
+    pd.testing.assert_frame_equal(got.sort_values("doc_id").reset_index(drop=True), want[got.columns].sort_values("doc_id").reset_index(drop=True), check_dtype=False)

@@ -103,6 +103,31 @@ def test_packing(spark):
     assert packing.best_fit_packing(hard(spark, []), JSON).count() == 0
 
 
+def test_pieces_hold_the_library_s_ids(spark):
+    rows = [(i, *r[1:]) for i, r in enumerate(r for r in hard(spark).collect())]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    capacity = 256
+    held: dict = {}
+    for r in packing.best_fit_packing(docs, JSON, capacity=capacity, with_ids=True).collect():
+        held.setdefault(r.doc_id, []).append(r)
+    assert set(held) == {r[0] for r in rows}
+    for i, text, *_ in rows:
+        want = np.array([*library_ids(text), 0], "<u4").tobytes()
+        own = sorted(held[i], key=lambda r: r.piece)
+        assert b"".join(bytes(r.ids) for r in own) == want and [r.piece for r in own] == list(range(len(own)))
+        starts = np.cumsum([0] + [r.length for r in own[:-1]]).tolist()
+        assert [r.start for r in own] == starts
+        assert len(own) == 1 if len(want) <= 4 * capacity else all(r.length == capacity for r in own[1:])
+
+
+def test_decode_as_an_operator(spark):
+    docs = hard(spark).select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    ids = bpe_codec.encode(docs, RANKS).selectExpr("doc_id", "ids", "1 as decoded")
+    assert {r.doc_id: bytes(r.decoded) for r in bpe_codec.decode(ids, RANKS).collect()} == texts
+    assert bpe_codec.decode(ids.where("false"), RANKS).count() == 0
+
+
 def test_histogram_packing_covers_and_is_tight():
     rng = random.Random(3)
     for _ in range(30):
