@@ -169,7 +169,11 @@ def numeric_grounding(spark, sf_dir):
     return load(spark, sf_dir, "orders").select(k.alias("k"), C.numeric_grounding(text).alias("x")).select("k", "x.*")
 
 
-@query()
+@query("""WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x1c-\\x1f\\x{85}\\x{a0}]+'), lambda x: x <> '') AS ws FROM documents),
+ g AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
+ p AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.h = b.h AND a.i < b.i), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS run FROM p),
+ l AS (SELECT doc_id, min(i) AS s, count(*) + 7 AS n FROM r GROUP BY doc_id, d, run), b AS (SELECT doc_id, arg_max((s, n), (n, -s)) AS x FROM l GROUP BY doc_id)
+ SELECT w.doc_id, CASE WHEN x IS NULL THEN '' ELSE array_to_string(list_slice(ws, x[1], x[1] + x[2] - 1), ' ') END AS phrase FROM w LEFT JOIN b ON b.doc_id = w.doc_id""")
 def repeated_phrase(spark, sf_dir):
     """The longest phrase of eight words or more that a text holds twice."""
     return load(spark, sf_dir, "documents").select("doc_id", C.repeated_phrase(F.col("text")).alias("phrase"))
