@@ -30,22 +30,9 @@ quest AS (SELECT QA_Type, Batch, Root_ID, any_value(Seed_Type) AS Seed_Type, cou
 poll AS (SELECT *, CASE WHEN No_Majority_Frac > 0.34 THEN 'DISAGREE' WHEN Pass_Frac >= 0.75 THEN 'PASS' ELSE 'FAIL' END AS Verdict FROM quest)"""
 
 
-def raw_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two judges' votes on each line of an order; a line number may repeat, and so may votes."""
-    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    one = F.when(F.col("l_returnflag") == "A", "Yes").when(F.col("l_returnflag") == "N", "No").otherwise("Unsure")
-    two = F.when(F.col("l_quantity") <= 30, "Yes").when(F.col("l_quantity") <= 45, "No").otherwise("Unsure")
-    five = F.col("l_orderkey") % 5
-    seed = F.when(five == 0, "reg").when(five == 1, "dynamic_reg").when(five == 2, "generic").otherwise("dynamic_generic")
-    both = F.explode(F.array(F.struct(F.lit("j1").alias("Judge"), one.alias("Verdict")), F.struct(F.lit("j2").alias("Judge"), two.alias("Verdict"))))
-    return li.select(
-        F.concat(F.lit("type"), (F.col("l_orderkey") % 3 + 1).cast("string")).alias("QA_Type"), F.concat(F.lit("b"), (F.col("l_orderkey") % 4 + 1).cast("string")).alias("Batch"),
-        seed.alias("Seed_Type"), F.col("l_orderkey").alias("Root_ID"), F.col("l_linenumber").alias("Criterion_No"), both.alias("x"),
-    ).select("QA_Type", "Batch", "Seed_Type", "Root_ID", "Criterion_No", "x.*")
-
-
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_votes with one vote a judge: of conflicting ones the least word, whatever their order.
+    """Two judges' votes on each line of an order, one vote a judge: a line number may repeat, and of conflicting votes the least
+    word counts, whatever their order.
 
     Votes are numbers until they are collapsed (No 0, Unsure 1, Yes 2, the order of the words), and rows are dealt by
     question once: criteria and questions are then counted where they stand."""
