@@ -32,8 +32,9 @@ from qaloom.llm.textmath import Block, mix, sums, windows
 
 #: Words an n-gram, and the least similarity as numerator and denominator.
 WORDS, LEAST, OF = 5, 3, 4
-#: Bytes of the input, as it is stored, for which there is a task of the n-grams' ranges.
-RANGE_BYTES = 4 << 20
+#: Bytes of the input, as it is stored, for which there is a task of the n-grams' ranges.  Each class's number goes to every
+#: range that has one of its n-grams, so more ranges than a text has n-grams cost a number an n-gram.
+RANGE_BYTES = 32 << 20
 #: Most classes and n-grams of a chunk of a component, on average.
 CHUNK, CHUNK_GRAMS = 512, 400_000
 
