@@ -159,6 +159,14 @@ def judge_uniformity(spark, sf_dir):
     return per.groupBy("QA_Type", "judges").agg(F.count(F.lit(1)).alias("n_criteria"))
 
 
+@query(WITH + """, t AS (SELECT l_orderkey AS Root_ID, l_linenumber AS Criterion_No, min(l_partkey) AS text FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL) SELECT QA_Type, Batch, Root_ID, Criterion_No, Consensus, text FROM cons LEFT JOIN t USING (Root_ID, Criterion_No)""")
+def criterion_texts(spark, sf_dir):
+    """Criterion scores beside the first of each criterion's repeated texts; some criteria have none."""
+    scores = panel.consensus(votes(spark, sf_dir)).select(*panel.CRITERION, "Consensus")
+    li = load(spark, sf_dir, "lineitem").where("l_linenumber <> 7").select(F.col("l_orderkey").alias("Root_ID"), F.col("l_linenumber").alias("Criterion_No"), F.col("l_partkey").alias("text"))
+    return scores.join(R.first_of(li, ["Root_ID", "Criterion_No"], ["text"]), ["Root_ID", "Criterion_No"], "left").select(*panel.CRITERION, "Consensus", "text")
+
+
 _BUCKET = "['fee', 'rate', 'cap'][(Criterion_No % 3 + 1)::BIGINT]"
 
 
