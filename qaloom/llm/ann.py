@@ -116,6 +116,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
 
     Vectors that are null, zero, of another than the commonest length, or hold null or non-finite components take no part.
     A query's own row is no candidate, though a repeated row is.  Equal distances go by vec_id.  Null keys take no part.
+    An empty table, or one without queries, gives no rows; other columns are not looked at, whatever their names.
     """
     spark = common.ready(rows.sparkSession)
     used = rows.select(rows[key].cast("long").alias("id"), rows[vector].cast("array<double>").alias("v"), is_query.alias("is_query")).where(F.col("id").isNotNull() & takes_part(F.col("v")))

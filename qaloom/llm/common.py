@@ -22,7 +22,7 @@ BLOCK_BYTES = 8 << 20
 #: The same where a block's words and n-grams become arrays of numbers, some thirty times the text.
 WORD_BLOCK_BYTES = 4 << 20
 #: Most bytes that the JVM hands to Python in one Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 

@@ -11,8 +11,9 @@
    sizes exclude it, or when it is already linked with all that still could.
 
 Only a spanning forest of the links leaves a trie, never all pairs.  A large component is dealt into
-chunks: each is joined in itself, then representatives of what was found join the chunks, and only
-chunks that still hold different parts meet in pairs.
+chunks: each is joined in itself, then representatives of what was found join the chunks.  What shares no
+first n-gram with another part by then is done; of the rest, in components anew, only chunks that still
+hold different parts meet in pairs.
 """
 
 from __future__ import annotations
@@ -342,27 +343,40 @@ def _members(sets: DataFrame, whole: DataFrame) -> DataFrame:
     return common.written(sets.select("cid", "n", "grams", "codes").join(whole.join(size, "comp"), "cid"), "members")
 
 
-def _links(member: DataFrame) -> DataFrame:
-    """Spanning links a, b of the classes, from _members."""
+def _links(member: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """Spanning links a, b of the classes, from _members.  prefixes: cid, gram, the n-grams of which two sets that link share one;
+    with them only what can still link stays in a large component after its chunks were joined."""
     cell = lambda *x: F.concat_ws("/", *(F.col(c).cast("string") if isinstance(c, str) else c for c in x))
     side = lambda k: F.lit(k).cast("int").alias("side")
     each = ["cid", "n", "grams", "codes"]
     deal = lambda c: F.pmod(F.xxhash64("cid"), F.col(c)).cast("int")
+    alone = lambda rows, label: rows.select(cell("comp", deal("parts")).alias("cell"), side(0), *each, label.alias("label"))
 
-    first = member.select(cell("comp", deal("parts")).alias("cell"), side(0), *each, F.col("cid").alias("label"))
-    found = common.written(_join_cells(first), "links")
-    inside = member.where("parts > 1")
-    if not inside.take(1):
+    found = common.written(_join_cells(alone(member, F.col("cid"))), "links")
+    if not member.where("parts > 1").take(1):
         return found
     # representatives of what the chunks found join the chunks
-    inside = common.written(inside, "large")
-    labels = _labelled(inside, found)
-    reps = labels.where("cid = label")
+    inside = common.bucketed(member.where("parts > 1"), "cid")
+    ids = inside.select("cid", "comp")
+    reps = _labelled(ids, found).where("cid = label")
     count = reps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("rep_parts"))
-    second = reps.join(count, "comp").select(cell("comp", deal("rep_parts")).alias("cell"), side(0), *each, "label")
+    second = inside.drop("comp").join(reps.join(count, "comp"), "cid").select(cell("comp", deal("rep_parts")).alias("cell"), side(0), *each, "label")
     found = common.written(found.union(_join_cells(second)), "links")
+    light = common.written(_labelled(ids, found), "labels")
+    if prefixes is None:
+        labels = common.written(inside.drop("comp").join(light, "cid"), "labelled")
+    else:
+        # an n-gram whose classes are one part already has no link to give
+        own = prefixes.join(light.select("cid", "label"), "cid")
+        open_ = common.written(own.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("cid").alias("b")).where("x <> y").select("gram", "b"), "open")
+        whole = components(own.join(open_, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
+        rest = _members(inside.select(*each), whole.select(F.col("node").alias("cid"), F.col("label").alias("comp")))
+        labels = common.written(rest.join(light.select("cid", "label"), "cid"), "labelled")
+        found = common.written(found.union(_join_cells(alone(labels.where("parts = 1"), F.col("label")))), "links")
+        labels = labels.where("parts > 1")
+        if not labels.take(1):
+            return found
     # chunks of one part each, and of small parts together; those with different parts meet
-    labels = common.written(_labelled(inside, found), "labelled")
     per = labels.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.octet_length("grams") / 8).alias("grams"))
     own = F.greatest(F.ceil(F.col("classes") / CHUNK), F.ceil(F.col("grams") / CHUNK_GRAMS)).cast("int")
     per = per.withColumn("pure", F.col("classes") >= CHUNK // 4).withColumn("own", own)
@@ -410,7 +424,8 @@ def _components(slim: DataFrame, key: str, words: int, parts: int) -> DataFrame:
         star = grams.groupBy("gram").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "b")
         whole = components(grams.join(star, "gram").select(F.col("cid").alias("a"), "b").where("a <> b").distinct())
         member = common.keep(_members(sets, whole.select(F.col("node").alias("cid"), F.col("label").alias("comp"))))
-    label = components(_links(member)).withColumnRenamed("node", "cid")
+        prefixes = common.keep(grams)
+    label = components(_links(member, prefixes)).withColumnRenamed("node", "cid")
     labelled = common.written(classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
     # written, so that a large component's label is a plain exchange, which Spark splits
     least = common.written(labelled.groupBy("label").agg(F.min("class_id").alias("component_id")), "least")

@@ -209,7 +209,8 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of `docs` that the rules keep, with their columns.  The texts are measured twice rather than moved."""
+    """The rows of `docs` that the rules keep, with their columns, whatever those are called.  The texts are measured twice rather
+    than moved.  Null, empty and short texts fail; repeated rows stay or go alike; an empty table stays empty."""
     slim = docs.select(docs[text].alias("t"), docs[lang].alias("lang"), docs[source].alias("source"))
     limits = common.written(thresholds(sketches(measures(slim, "t", ["lang", "source"]))), "thresholds")
     names = [f"_in{i}" for i in range(len(docs.columns))]

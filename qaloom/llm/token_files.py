@@ -175,7 +175,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
 def read_token_files(spark, folder: str, manifest: list[dict], key_type: str = "bigint", keys: list | None = None) -> DataFrame:
     """The documents of the files: k, start (tokens in all files before it), n_tokens, ids (binary).
 
-    With `keys`, only those documents, and only the frames that hold them are read.
+    With `keys`, only those documents, and only the frames that hold them are read (a key of several rows gives them all, one that
+    isn't there none).  Null keys come back as null, documents without ids of their own as their end token; an empty
+    manifest gives no rows.
     """
     common.ready(spark)
     base, rows = 0, []
