@@ -32,8 +32,8 @@ def meetings(sets: DataFrame, least: int, by: Sequence[str] = ()) -> DataFrame:
     """i < j: pairs of sets (rep, tokens) that could be `least` per cent alike.
 
     Two sets that are so alike share one of their first size - ceil(t size) + 1 tokens in any common order; tokens are
-    ordered rarest first, so few sets meet at one.  The pair meets at its first shared token only, and not if what is left
-    of either set from there on can't reach the threshold.  by: columns in which the pair must agree."""
+    ordered rarest first, so few sets meet at one.  A meeting doesn't count if what is left of either set from there on can't
+    reach the threshold.  by: columns in which the pair must agree."""
     each = sets.select(*by, "rep", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     freq = each.groupBy(*by, "t").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(freq, [*by, "t"]).groupBy(*by, "rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))  # one text's tokens
@@ -43,10 +43,8 @@ def meetings(sets: DataFrame, least: int, by: Sequence[str] = ()) -> DataFrame:
     fits = (F.col("ni") * 100 >= F.col("nj") * least) & (F.col("nj") * 100 >= F.col("ni") * least)
     needed = (F.col("ni") + F.col("nj")) * least  # (100 + least) * intersection >= least * (ni + nj)
     rest = F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj"))
-    met = a.join(b, [*by, "t"]).where((F.col("i") < F.col("j")) & fits)
-    # an earlier shared token would have met first, so a pair's first meeting decides
-    one = met.groupBy("i", "j").agg(F.max(rest).alias("rest"), F.first(needed).alias("needed"))
-    return one.where((F.lit(100 + least) * F.col("rest")) >= F.col("needed")).select("i", "j")
+    reach = F.lit(100 + least) * rest >= needed  # what a pair can still share from here on; its first meeting has the most
+    return a.join(b, [*by, "t"]).where((F.col("i") < F.col("j")) & fits & reach).select("i", "j").distinct()
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, least: int) -> DataFrame:
