@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm.common import keep, scratch, table, written
+from qaloom.llm.common import bucketed, keep, scratch, table, written
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import best_fit_packing
 from qaloom.llm.passage_dedup import without_repeats
@@ -31,7 +31,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stays too.  Texts without words are groups of their own; an empty table gives an empty one."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # the input's names can't clash with the row number's
     own = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-    numbered = written(docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+    numbered = bucketed(docs.toDF(*names).withColumn("row_no", F.monotonically_increasing_id()), "row_no")  # the texts move once, here
     keyed = numbered.select(F.struct(F.col(own["doc_id"]).alias("doc_id"), "row_no").alias("row_key"), F.col(own["text"]).alias("text"))
     group = ngram_components(keyed, key="row_key")
     stays = group.where(F.col("row_key") == F.col("component_id")).select("row_key.row_no")
