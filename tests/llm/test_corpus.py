@@ -418,3 +418,24 @@ def test_verdicts_on_hard_rows_equal_sql(spark):
     con.register("documents", pd.DataFrame([(r[0], r[1], r[2], r[3]) for r in rows], columns=["doc_id", "text", "lang", "source"]))
     want = con.execute(queries.oracle_sql()["op5_quality_rules"]).fetchdf()
     pd.testing.assert_frame_equal(got.sort_values("doc_id").reset_index(drop=True), want[got.columns].sort_values("doc_id").reset_index(drop=True), check_dtype=False)
+
+
+def test_passages_met_in_rounds_are_the_same_and_leave_no_unit_rows(spark, monkeypatch):
+    rng = random.Random(17)
+    passage = [" ".join(rng.choices("abcdefghijkl", k=60)) for _ in range(6)]
+    texts = [" ".join(rng.choices("mnopqrstuvw", k=30)) + "\n" + passage[i % 6] + "\n" + " ".join(rng.choices("mnopqrstuvw", k=30)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.start, r.end, r.n_words, r.removed_words) for r in passage_dedup.repeated_passages(docs).collect())
+    plain = found()
+    assert len({k for k, *_ in plain}) == 40
+    monkeypatch.setattr(passage_dedup, "ROUND_BYTES", 1)
+    assert found() == plain
+    common = passage_dedup.common
+    common.ready(spark)
+    with common.scratch():
+        corpus = passage_dedup.Corpus(common.bucketed(docs.select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("k"), F.col("text").alias("t")), "uid"))
+        rows = common.written(passage_dedup._read(corpus.texts()), "rows", by="level")
+        spans = common.written(passage_dedup.exact_spans(corpus, rows), "spans")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(common._open[-1][id(rows)][1])
+        left = {f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if f.isDirectory()}
+        assert spans.count() and f"level={passage_dedup.LINE}" in left and f"level={passage_dedup.UNIT}" not in left
