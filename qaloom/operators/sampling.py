@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,17 +95,37 @@ def exemplars(scenarios: DataFrame, clauses: DataFrame, key: str, wanted: int, s
     return drawn.select(key, text.alias("exemplar"))
 
 
-def context_draws(prompts: DataFrame, pool: DataFrame, similar: DataFrame, each: int, seed: int) -> DataFrame:
+#: Most names that a round of context_draws deals to its problems.
+ROUND_NAMES = 1 << 16
+
+
+def context_draws(prompts: DataFrame, pool: DataFrame, similar: DataFrame | Callable[[DataFrame], DataFrame], each: int, seed: int) -> DataFrame:
     """problem, nth, name: for every prompt function (problem, nth from 0) the next `each` functions of the pool in the order of the
     draw, none twice, none that is similar to a prompt function of the problem.
 
-    pool: name; similar: problem, name.  A problem looks at as many drawn functions as it needs, its similar ones and one
-    round more, so no pool is crossed with the problems.  Where fewer than `each` are left, every later function gets those."""
-    places = positions(pool.withColumn("_d", F.sha1(F.concat_ws("|", F.lit(str(seed)), "name"))), ["_d", "name"], "_p").select("name", "_p")
-    need = prompts.groupBy("problem").agg(F.count(F.lit(1)).alias("_many")).join(similar.groupBy("problem").agg(F.count(F.lit(1)).alias("_no")), "problem", "left")
-    seen = need.select("problem", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_many") + 1) * each + F.coalesce("_no", F.lit(0)) - 1)).alias("_p"))
+    pool: name and any columns that tell likeness; similar: problem, name, or what takes rows (problem and the pool's columns) and
+    leaves those that are not similar.  Problems look at the drawn functions round by round, twice as many each time, until they
+    have theirs, so only pairs that are drawn are looked at.  Where fewer than `each` are left, every later function gets those."""
+    places = written(positions(pool.withColumn("_d", F.sha1(F.concat_ws("|", F.lit(str(seed)), "name"))), ["_d", "name"], "_p").drop("_d"), "places")
+    size = places.count()
+    unlike = similar if callable(similar) else lambda seen: seen.join(similar, ["problem", "name"], "left_anti")
+    still = written(prompts.groupBy("problem").agg((F.count(F.lit(1)) * each).alias("_want")).withColumn("_have", F.lit(0).cast("long")), "problems")
     order = W.partitionBy("problem").orderBy("_p")
-    ranked = written(seen.join(places, "_p").join(similar, ["problem", "name"], "left_anti").withColumn("_r", F.row_number().over(order) - 1), "drawn")
-    full = ranked.groupBy("problem").agg(F.floor((F.max("_r") + 1) / each).cast("long").alias("_full"))
-    asked = prompts.join(full, "problem").withColumn("_slot", F.least(F.col("nth").cast("long"), F.col("_full")))
-    return asked.join(ranked.withColumn("_slot", F.floor(F.col("_r") / each).cast("long")).select("problem", "name", "_slot"), ["problem", "_slot"]).select("problem", "nth", "name")
+    at, width, parts = 0, 2 * (still.agg(F.max("_want")).first()[0] or 0), []
+    while at < size and still.take(1):
+        width = min(width, ROUND_NAMES)
+        seen = still.crossJoin(F.broadcast(places.where(F.col("_p").between(at, at + width - 1))))
+        ranked = unlike(seen).withColumn("_r", F.col("_have") + F.row_number().over(order) - 1).where("_r < _want")
+        parts.append(written(ranked.select("problem", "name", "_r"), "drawn"))
+        more = parts[-1].groupBy("problem").agg(F.count(F.lit(1)).alias("_n"))
+        had = still.join(more.hint("merge"), "problem", "left").withColumn("_have", F.col("_have") + F.coalesce("_n", F.lit(0))).drop("_n")
+        still = written(had.where("_have < _want"), "problems")
+        at, width = at + width, width * 2
+    if not parts:
+        return prompts.join(places.select("name"), F.lit(False)).select("problem", "nth", "name")
+    drawn = parts[0]
+    for p in parts[1:]:
+        drawn = drawn.union(p)
+    full = drawn.groupBy("problem").agg(F.floor((F.max("_r") + 1) / each).cast("long").alias("_full"))
+    asked = prompts.join(full.hint("merge"), "problem").withColumn("_slot", F.least(F.col("nth").cast("long"), F.col("_full")))
+    return asked.join(drawn.withColumn("_slot", F.floor(F.col("_r") / each).cast("long")).select("problem", "name", "_slot").hint("merge"), ["problem", "_slot"]).select("problem", "nth", "name")

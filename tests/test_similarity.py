@@ -107,3 +107,24 @@ def test_context_draws_without_reuse(spark):
         got.setdefault((r.problem, r.nth), set()).add(r.name)
     assert len(got[1, 0]) == len(got[1, 1]) == 4 and got[1, 0].isdisjoint(got[1, 1]) and len(got[1, 2]) == 2 and not {"f1", "f2"} & set().union(*(got[1, n] for n in range(3)))
     assert sorted(len(got[2, n]) for n in range(3)) == [4, 4, 4]
+
+
+def test_context_draws_look_at_drawn_pairs_only(spark):
+    prompts = spark.createDataFrame([(p, n) for p in (1, 2, 3) for n in range(2)], "problem int, nth int")
+    pool = spark.createDataFrame([(f"f{i}", i) for i in range(300)], "name string, i int")
+    looked = []
+
+    def unlike(seen):
+        looked.append(seen.count())
+        return seen.where((F.col("problem") == 1) | ((F.col("problem") == 2) & (F.col("i") % 10 == 0)) | ((F.col("problem") == 3) & (F.col("i") < 7)))
+
+    got: dict = {}
+    for r in sampling.context_draws(prompts, pool, unlike, 5, 1).collect():
+        got.setdefault((r.problem, r.nth), set()).add(int(r.name[1:]))
+    assert {k: len(v) for k, v in got.items()} == {(1, 0): 5, (1, 1): 5, (2, 0): 5, (2, 1): 5, (3, 0): 5, (3, 1): 2}
+    assert all(i % 10 == 0 for n in (0, 1) for i in got[2, n]) and got[3, 0] | got[3, 1] == set(range(7))
+    similar = spark.createDataFrame([(2, f"f{i}") for i in range(300) if i % 10] + [(3, f"f{i}") for i in range(7, 300)], "problem int, name string")
+    plain: dict = {}
+    for r in sampling.context_draws(prompts, pool, similar, 5, 1).collect():
+        plain.setdefault((r.problem, r.nth), set()).add(int(r.name[1:]))
+    assert plain == got and looked[0] == 3 * 20
