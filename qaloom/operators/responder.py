@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 def replay(prompts: DataFrame, recorded: DataFrame, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
     """Joins replies by the prompt's digest; a prompt recorded more than once gets the least reply, an unknown one null."""
-    known = recorded.groupBy(F.sha2(F.col(prompt), 256).alias("_h")).agg(F.min(reply).alias(reply))
-    return prompts.withColumn("_h", F.sha2(F.col(prompt), 256)).join(known, "_h", "left").drop("_h")
+    known = recorded if "_h" in recorded.columns else known_replies(recorded, prompt, reply)
+    return prompts.withColumn("_h", F.sha2(F.col(prompt), 256)).join(known.hint("merge"), "_h", "left").drop("_h")
+
+
+def known_replies(recorded: DataFrame, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
+    """One reply a prompt's digest.  The join with them is a sorted one: how large replies are can't be estimated, and a broadcast would
+    hold all of them on the driver."""
+    return recorded.groupBy(F.sha2(F.col(prompt), 256).alias("_h")).agg(F.min(reply).alias(reply))
 
 
 def first_success(attempts: DataFrame, key: list[str], attempt: str, ok: Column, most: int) -> DataFrame:

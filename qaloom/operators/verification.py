@@ -13,7 +13,8 @@ from qaloom.functions import responses as R
 from qaloom.functions import text as X
 from qaloom.functions.keys import py_strip
 from qaloom.functions.prompts import filled
-from qaloom.operators.responder import replay
+from qaloom.operators.responder import known_replies, replay
+from qaloom.tables import written
 
 # What replies are parsed by.
 EXTRA, RELEVANT = "Extra Points Mentioned", "Relevant Points"
@@ -104,6 +105,7 @@ def verified_documents(rows: DataFrame, recorded: DataFrame, key: str = "key") -
     """rows: key, question, docs (array), points (array of arrays, as long), adversarial (array of arrays).  recorded: prompt,
     reply.  Returns key, docs and adversarial after the passes: further points out of the documents; what an answer from
     a document alone holds beyond the points out; the same for adversarial documents; points that a document lacks, in."""
+    recorded = written(known_replies(recorded), "replies")  # once for all passes
     at = rows.select(key, "question", F.posexplode(F.arrays_zip("docs", "points")).alias("no", "x"))
     docs = at.select(key, "question", "no", F.col("x.docs").alias("doc"), F.col("x.points").alias("own"))
     joined = F.array_join("own", "\n")
@@ -112,11 +114,11 @@ def verified_documents(rows: DataFrame, recorded: DataFrame, key: str = "key") -
     said = replay(docs.withColumn("prompt", prompt("predict", question=F.col("question"), doc=F.col("doc"))), recorded).withColumnRenamed("reply", "answer")
     some = F.lower(py_strip("answer")) != NO_ANSWER
     compared = replay(said.withColumn("prompt", F.when(some, prompt("compare", question=F.col("question"), points=joined, answer=F.col("answer")))), recorded)
-    docs = _removed(compared.withColumn("info", extra_points(F.col("reply"), avoid=())).drop("prompt", "reply", "answer"), recorded, joined)
+    docs = written(_removed(compared.withColumn("info", extra_points(F.col("reply"), avoid=())).drop("prompt", "reply", "answer"), recorded, joined), "documents")  # two passes read them
     point = docs.select(key, "no", "question", "doc", F.posexplode("own").alias("p", "point"))
     checked = replay(point.withColumn("prompt", prompt("presence", question=F.col("question"), point=F.col("point"), doc=F.col("doc"))), recorded)
     lacking = checked.where(~present(F.col("reply"))).groupBy(key, "no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "point"))), lambda x: x["point"]), "\n").alias("info"))  # one document's
-    added = docs.join(lacking, [key, "no"], "left").withColumn("prompt", F.when(F.col("info").isNotNull(), prompt("add", question=F.col("question"), info=F.col("info"), doc=F.col("doc"))))
+    added = docs.join(lacking.hint("merge"), [key, "no"], "left").withColumn("prompt", F.when(F.col("info").isNotNull(), prompt("add", question=F.col("question"), info=F.col("info"), doc=F.col("doc"))))
     docs = replay(added, recorded).withColumn("doc", F.coalesce(py_strip("reply"), F.col("doc")))
 
     group = rows.select(key, "question", F.posexplode("adversarial").alias("g", "list")).select(key, "question", "g", F.posexplode("list").alias("no", "doc"))
@@ -129,7 +131,7 @@ def verified_documents(rows: DataFrame, recorded: DataFrame, key: str = "key") -
     own = listed(docs, [key]).withColumnRenamed("list", "docs")
     adv = listed(group, [key, "g"]).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "list"))), lambda x: x["list"]).alias("adversarial"))  # one question's
     none = F.array().cast("array<string>")
-    return rows.select(key).join(own, key, "left").join(adv, key, "left").select(key, F.coalesce("docs", none).alias("docs"), F.coalesce("adversarial", F.array().cast("array<array<string>>")).alias("adversarial"))
+    return rows.select(key).join(own.hint("merge"), key, "left").join(adv.hint("merge"), key, "left").select(key, F.coalesce("docs", none).alias("docs"), F.coalesce("adversarial", F.array().cast("array<array<string>>")).alias("adversarial"))
 
 
 def _without_first(a: Column, x: Column) -> Column:
