@@ -224,7 +224,8 @@ def dissimilar_draws(rows: DataFrame, key: str, persona: str, environment: str,
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("t").cast("string")))
     drawn = sets.select("k", "ps", "es", F.explode(F.sequence(F.lit(1), F.lit(tries * wanted))).alias("t"))
     drawn = drawn.withColumn("pos", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))))
-    met = drawn.join(sets.select("pos", F.col("k").alias("other"), F.col("ps").alias("qs"), F.col("es").alias("fs")), "pos").where("k <> other")
+    others = sets.select("pos", F.col("k").alias("other"), F.col("ps").alias("qs"), F.col("es").alias("fs"))
+    met = drawn.join(others.hint("merge"), "pos").where("k <> other")  # stored, the rows are too small to tell what a broadcast would hold
     far = met.where(scenario_similarity(F.col("ps"), F.col("es"), F.col("qs"), F.col("fs")) < below).groupBy("k", "other").agg(F.min("t").alias("t"))
     listed = far.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("t", "other"))), 1, wanted).alias("own"))  # tries * wanted at most
     return listed.select("k", F.posexplode("own").alias("nth", "x")).select(F.col("k").alias(key), F.col("x.other").alias("other"), (F.col("nth") + 1).alias("nth"))
