@@ -56,16 +56,23 @@ def without_conclusion_lines(info: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.when((at(x) > 0) & tail(x).startswith("conclusion:"), ends(x)).otherwise(x)), "\n")
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row.  It comes from a generator, as filters and later columns would else be folded into
+    the parse and repeat it for each array that they name."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def sibling_groups(rows: DataFrame, conclusions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, dropped siblings, failed rows) of roots with adversarial siblings.
 
     rows: Question, Answer, Documents_Info, Ans_Points, Doc_Ans_Points and the arrays Adv_Question, Adv_Answer,
     Adv_Documents_Info, beside any others, which stay.  A sibling that fails is dropped with its place and reason; a row
     whose siblings all fail (or that has none) fails.  A group's arrays hold the root first, then the siblings that are left."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes a row, but dear ones to parse
     n = F.size("Adv_Answer")
     each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.struct(i.alias("i"), F.get("Adv_Question", i).alias("question"), F.get("Adv_Answer", i).alias("answer"), F.get("Adv_Documents_Info", i).alias("info")))
     tried = F.transform(F.filter(each, lambda s: s["i"] < n), lambda s: F.struct(s["i"].alias("i"), s["question"].alias("question"), s["answer"].alias("answer"), s["info"].alias("info"), sibling_points(s["answer"], s["info"], conclusions).alias("x")))
-    marked = rows.withColumn("_s", tried).withColumn("_k", F.filter("_s", lambda s: s["x"]["reason"].isNull()))
+    marked = _once(_once(rows, "_s", tried), "_k", F.filter("_s", lambda s: s["x"]["reason"].isNull()))
     dropped = marked.select(*rows.columns, F.explode("_s").alias("s")).where("s.x.reason is not null")
     dropped = dropped.select(*[c for c in rows.columns if not c.startswith("Adv_")], F.col("s.i").alias("Adv_Question_Index"), F.col("s.question").alias("Adv_Question"), F.col("s.x.reason").alias("Reason"))
     # the siblings are null with the array, so a row without one is a failed row too

@@ -253,3 +253,13 @@ def test_stream_equals_batch(spark, tmp_path):
     assert relations.same_rows(spark.table("running"), panel.consensus(v))
     judgments.to_table(judgments.read_log(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == v.count()
+
+
+def test_siblings_are_parsed_once_and_by_many_tasks(spark):
+    from qaloom.operators import postprocess
+
+    one = [(1, "q", "- a", "Document 1: a", ["a"], [["a"]], ["x"], ["- a"], ["Document 1 Title: T\n- a"])]
+    names = "ID long, Question string, Answer string, Documents_Info string, Ans_Points array<string>, Doc_Ans_Points array<array<string>>, Adv_Question array<string>, Adv_Answer array<string>, Adv_Documents_Info array<string>"
+    groups, _, _ = postprocess.sibling_groups(spark.createDataFrame(one * 8, names).coalesce(1))
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "Repartition 4, true" in plan and groups.count() == 8
