@@ -56,9 +56,108 @@ def similar_pairs(rows: DataFrame, key: str, text: str, least: int) -> DataFrame
     return pairs_of_classes(classes, least)
 
 
+#: Rows of a block of classes at least, blocks at most, and bits of a class's digest a token at least.
+BLOCK_ROWS, BLOCKS, TOKEN_BITS = 2_048, 32, 3
+
+
+def digests(sets: DataFrame) -> DataFrame:
+    """rep, n, bits of sets (rep, tokens): bit h mod width says whether an odd number of a set's tokens has the hash h.
+
+    Each bit in which two digests differ stands for a token that one of the sets lacks, so they tell how much two sets differ at
+    least.  A width is a power of two that grows with the set; the halves of a digest, one xor the other, are that of half the width."""
+    hashed = sets.select("rep", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                n, h = batch.column(1).to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy().view(np.uint64)
+                width = 1 << np.clip(np.ceil(np.log2(n * TOKEN_BITS)).astype(np.int64), 7, 13)
+                first = np.cumsum(width) - width
+                bit = np.repeat(first, n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+                packed = np.packbits((np.bincount(bit, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+                bits = [packed[a // 8 : (a + w) // 8] for a, w in zip(first.tolist(), width.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["rep", "n", "bits"])
+
+    return hashed.mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, n int, bits binary")
+
+
+def close_digests(placed: DataFrame, spans: list[tuple[int, int, int]], least: int) -> DataFrame:
+    """x, y: places of sets that by their digests could be `least` per cent alike.
+
+    placed: block, pos, n, bits, in the order of n; spans: block, least and greatest n.  Blocks meet two by two where their sizes allow
+    it, so what is held is two blocks' digests, and only pairs that pass are rows."""
+    tasks = [(a, b) for a, lo, hi in spans for b, low, _ in spans if a <= b and low * least <= hi * 100]
+    dealt = placed.sparkSession.createDataFrame([(t, k, s) for t, pair in enumerate(tasks) for s, k in enumerate(pair) if s == 0 or pair[0] != pair[1]], "task int, block long, side int")
+    met = placed.join(F.broadcast(dealt), "block").select("task", "side", "pos", "n", "bits").repartition(len(tasks), "task")
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        side, pos, n = (table.column(c).to_numpy() for c in ("side", "pos", "n"))
+        order, raw = np.lexsort((pos, side)), table.column("bits").to_pylist()
+        cut = int((side == 0).sum())
+        mine, other = order[:cut], order[cut:]
+        same = not len(other)
+        other = mine if same else other
+        ratio, wide = (100 - least) / (100 + least), np.array([len(x) // 8 for x in raw])
+        nj, xs, ys = n[other].astype(np.int64), [], []
+        most = (nj * ratio).astype(np.float32)
+        for words in np.unique(wide[mine]).tolist():
+            from_ = int(np.searchsorted(wide[other], words))  # sizes ascend, and so do widths
+
+            def folded(k):
+                x = np.frombuffer(raw[k], np.uint64)
+                while len(x) > words:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                return x
+
+            if from_ == len(other):
+                continue
+            matrix = np.ascontiguousarray(np.stack([folded(k) for k in other[from_:]]).T)
+            for i in np.flatnonzero(wide[mine] == words).tolist():
+                k = mine[i]
+                lo = max(i + 1, from_) if same else from_
+                hi = int(np.searchsorted(nj, n[k] * 100 // least, "right"))
+                if lo >= hi:
+                    continue
+                digest, differ = folded(k), np.zeros(hi - lo, np.uint16)
+                for w in range(words // 2):
+                    differ += np.bitwise_count(matrix[w, lo - from_ : hi - from_] ^ digest[w])
+                bound = np.float32(int(n[k]) * ratio + 0.01)
+                near = np.flatnonzero(differ - most[lo:hi] <= bound)  # most pairs differ by too much in half of the bits
+                if len(near):
+                    differ = differ[near]
+                    for w in range(words // 2, words):
+                        differ += np.bitwise_count(matrix[w, lo - from_ + near] ^ digest[w])
+                    near = near[differ - most[lo + near] <= bound]
+                if len(near):
+                    xs.append(np.full(len(near), pos[k]))
+                    ys.append(pos[other[lo + near]])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"x": np.concatenate(xs or none), "y": np.concatenate(ys or none)})
+
+    return met.groupBy("task").applyInArrow(run, "x long, y long")
+
+
 def pairs_of_classes(classes: DataFrame, least: int) -> DataFrame:
-    sets = classes.select("rep", "tokens", "members")
-    met = meetings(sets, least).join(sets.toDF("i", "ti", "members_i"), "i").join(sets.toDF("j", "tj", "members_j"), "j")
+    sets = classes.where(F.size("tokens") > 0).select("rep", "tokens", "members")
+    placed = written(positions(written(digests(sets), "digests"), ["n", "rep"], "pos"), "placed")
+    rows = max(BLOCK_ROWS, -(-placed.count() // BLOCKS))
+    placed = placed.withColumn("block", F.floor(F.col("pos") / rows))
+    spans = [tuple(r) for r in placed.groupBy("block").agg(F.min("n"), F.max("n")).collect()]  # BLOCKS at most
+    if not spans:
+        met = sets.select(F.col("rep").alias("i"), F.col("rep").alias("j")).limit(0)
+    else:
+        close = written(close_digests(placed, spans, least), "close")
+        of = lambda p, r: placed.select(F.col("pos").alias(p), F.col("rep").alias(r))
+        named = close.join(of("x", "a").hint("merge"), "x").join(of("y", "b").hint("merge"), "y")
+        met = named.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    met = met.join(sets.toDF("i", "ti", "members_i").hint("merge"), "i").join(sets.toDF("j", "tj", "members_j").hint("merge"), "j")
     return met.withColumn("similarity", jaccard(F.col("ti"), F.col("tj"))).where(F.col("similarity") >= least).select("i", "j", "members_i", "members_j", "similarity")
 
 

@@ -128,3 +128,24 @@ def test_context_draws_look_at_drawn_pairs_only(spark):
     for r in sampling.context_draws(prompts, pool, similar, 5, 1).collect():
         plain.setdefault((r.problem, r.nth), set()).add(int(r.name[1:]))
     assert plain == got and looked[0] == 3 * 20
+
+
+def test_digests_lose_no_pair_and_few_pairs_pass(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [rng.sample(range(3_000), rng.choice([3, 40, 90, 200])) for _ in range(60)]
+    sets = {tuple(sorted({w if rng.random() < 0.8 else rng.randrange(3_000) for w in b})) for b in base for _ in range(3)}
+    rows = [(i, [f"w{x}" for x in t], 1) for i, t in enumerate(sets)]
+    want = {(i, j) for i, t, _ in rows for j, u, _ in rows if i < j and 100 * len(set(t) & set(u)) >= 50 * len(set(t) | set(u))}
+    close = []
+    real = S.written
+
+    def noted(df, name):
+        out = real(df, name)
+        close.extend([out] * (name == "close"))
+        return out
+
+    monkeypatch.setattr(S, "written", noted)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 25)
+    got = S.pairs_of_classes(spark.createDataFrame(rows, "rep long, tokens array<string>, members int"), 50).collect()
+    assert {(r.i, r.j) for r in got} == want and len(got) == len(want) > 50
+    assert close[0].count() < 4 * len(want)
