@@ -9,7 +9,7 @@ from qaloom.operators import relations as R
 from qaloom.operators import similarity as S
 from qaloom.plans.derived import CORPUS_SQL, corpus
 from qaloom.plans.registry import query
-from qaloom.tables import load
+from qaloom.tables import load, written
 
 _T = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+'), lambda x: x <> '')))"
 _CLASSES = f"""{CORPUS_SQL}, toks AS (SELECT doc_id, Batch, QA_Type, {_T.format('Question')} AS t FROM corpus),
@@ -32,7 +32,8 @@ def jaccard_pairs(spark, sf_dir):
 @query(f"""WITH {_CLASSES}, b AS (SELECT unnest([50, 60, 70, 80, 90]) AS bound), c AS (SELECT CAST(coalesce(sum(members * (members - 1) / 2), 0) AS BIGINT) AS copies FROM cls)
  SELECT bound, CAST(coalesce((SELECT sum(members_i * members_j) FROM prs WHERE similarity >= bound), 0) + copies AS BIGINT) AS n FROM b, c""")
 def jaccard_histogram(spark, sf_dir):
-    return S.similarity_histogram(_pairs(spark, sf_dir, 50), S.token_classes(corpus(spark, sf_dir), "doc_id", "Question"), [50, 60, 70, 80, 90])
+    classes = written(S.token_classes(corpus(spark, sf_dir), "doc_id", "Question"), "classes")
+    return S.similarity_histogram(S.pairs_of_classes(classes, 50), classes, [50, 60, 70, 80, 90])
 
 
 _ROWS = f"""{_CLASSES}, own AS MATERIALIZED (SELECT doc_id AS k, Batch, QA_Type, rep FROM toks JOIN cls USING (t)), rows_ AS MATERIALIZED (
